@@ -15,20 +15,8 @@ EARTH_RADIUS_KM = 6371  # fixed value: results depend on it
 _BOX_MARGIN_DEG = 1e-6
 
 
-def chord_sine(lat1, lng1, cos_lat1, lat2, lng2, cos_lat2) -> Column:
-    """``sin(angle / 2)`` of the angle between two points given in degrees.
-
-    The cosines of the latitudes are arguments so that a caller that compares one
-    point with many computes them once per point. The value grows with the
-    distance, so a maximum may be taken before :func:`chord_sine_to_km`.
-    """
-    half_lat = F.radians(lat2 - lat1) / 2
-    half_lng = F.radians(lng2 - lng1) / 2
-    return F.sqrt(F.pow(F.sin(half_lat), F.lit(2.0))
-                  + F.pow(F.sin(half_lng), F.lit(2.0)) * cos_lat1 * cos_lat2)
-
-
 def chord_sine_to_km(sine: Column) -> Column:
+    """Kilometres from the sine of half the angle between two points."""
     return F.lit(EARTH_RADIUS_KM) * (F.lit(2) * F.asin(sine))
 
 
@@ -40,8 +28,11 @@ def haversine(lat1, lng1, lat2, lng2) -> Column:
     """Distance in km between two points given as columns (or numbers) in degrees."""
     lat1, lng1, lat2, lng2 = (x if isinstance(x, Column) else F.lit(float(x))
                               for x in (lat1, lng1, lat2, lng2))
-    return chord_sine_to_km(
-        chord_sine(lat1, lng1, cos_degrees(lat1), lat2, lng2, cos_degrees(lat2)))
+    sin_lat = F.sin(F.radians(lat2 - lat1) / 2)
+    sin_lng = F.sin(F.radians(lng2 - lng1) / 2)
+    return chord_sine_to_km(F.sqrt(
+        F.pow(sin_lat, F.lit(2.0))
+        + F.pow(sin_lng, F.lit(2.0)) * cos_degrees(lat1) * cos_degrees(lat2)))
 
 
 def bounding_box(area: Area, lat="lat", lng="lng") -> Column:

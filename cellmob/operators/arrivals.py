@@ -37,5 +37,5 @@ def days_ending_within(events: DataFrame, area: Area = AIRPORT,
 
 def trails_ending_within(events: DataFrame, area: Area = AIRPORT,
                          min_events: int = 2) -> DataFrame:
-    """All events of the subscriber-days that ended in ``area``, ordered by time."""
+    """All events of the subscriber-days that ended in ``area``."""
     return trails_of(events, days_ending_within(events, area, min_events), weight="events")

@@ -78,10 +78,10 @@ def longest_paths(extents: DataFrame, k: int = 5) -> DataFrame:
 
 def trails_of(events: DataFrame, subscriber_days: DataFrame,
               weight: str | None = None) -> DataFrame:
-    """All events of the given subscriber-days (distinct rows), ordered by time.
+    """All events of the given subscriber-days (distinct rows).
 
     ``weight`` may name a column of ``subscriber_days`` with their number of events.
+    Sort by day, subscriber and time where the result is written.
     """
-    return (semi_join_selective(events, subscriber_days, SUBSCRIBER_DAY,
-                                ["timestamp", *CELL], weight)
-            .orderBy(*SUBSCRIBER_DAY, "timestamp"))
+    return semi_join_selective(events, subscriber_days, SUBSCRIBER_DAY,
+                               ["timestamp", *CELL], weight)

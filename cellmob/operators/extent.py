@@ -1,197 +1,146 @@
 """Daily extent: the largest distance between two towers of a subscriber-day.
 
 Comparing all pairs of a day's towers is fine for the dozens an ordinary subscriber
-meets and hopeless for a gateway or an "unknown" id that holds a third of the table.
-So the towers of a day are first reduced to those that can be an end of the largest
-distance. If all lie within a quarter of the globe, these are the corners of their
-spherical convex hull: circles of less than 90 degrees are strictly convex on the
-sphere, so the point farthest from any other is a corner. The corners of a union are
-among the corners of its parts, hence the reduction works like a partial aggregate: in
-every input batch, then per bucket, then per day.
+meets and hopeless for a gateway or an "unknown" id that meets them all. So more than a
+few towers are first reduced to those that can be an end of the largest distance: if all
+lie within a quarter of the globe, these are the corners of their convex hull on the
+sphere (a circle of less than 90 degrees is strictly convex, so the point farthest from
+any other is a corner). The corners of a union are among the corners of its parts. That
+makes the reduction a kind of partial aggregate: first in buckets of a subscriber-day,
+which spreads a large one over many tasks, then over what the buckets left.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cellmob.functions.geo import chord_sine, chord_sine_to_km, cos_degrees
-from cellmob.operators.skew import HEAVY_KEYS, heaviest, spread_of
+from cellmob.functions.geo import chord_sine_to_km
+from cellmob.operators.skew import SPREAD, semi_join_spread, spread_of
 from cellmob.schema import CELL, SUBSCRIBER_DAY
 
-# Up to this many towers a day's pairs are compared without a reduction before.
+# Up to this many towers are compared pair by pair without a reduction before.
 FEW_TOWERS = 64
-# From about this many towers a subscriber-day is reduced before the shuffle.
-HEAVY_TOWERS = 10_000
-
-_SAMPLE = 256  # one visit in so many is looked at to find the heavy subscriber-days
-_REDUCE_BUCKETS = 64
-_WIDE_BLOCKS = 16
-_MARGIN = 1e-12  # radians; a point is dropped only if it is inside by more than this
-_PAIR_CHUNK = 1 << 22
-
-
-# ---- corners of a point set (numpy, inside tasks) -------------------------------------
-
-def _is_compact(lat: np.ndarray, lng: np.ndarray) -> bool:
-    """All distances are certainly under 90 degrees, and coordinates are ordinary."""
-    with np.errstate(invalid="ignore"):
-        return bool(np.abs(lat).max() <= 90 and np.abs(lng).max() <= 180
-                    and np.ptp(lat) + np.ptp(lng) < 89)
-
-
-def _chain(x: np.ndarray, y: np.ndarray, order: np.ndarray) -> list[int]:
-    """Left-to-right boundary of the points, below them; near-straight points stay."""
-    kept: list[int] = []
-    for i in order.tolist():
-        while len(kept) >= 2:
-            a, b = kept[-2], kept[-1]
-            dx, dy = x[i] - x[a], y[i] - y[a]
-            depth = dx * (y[b] - y[a]) - dy * (x[b] - x[a])
-            if depth <= _MARGIN * np.hypot(dx, dy):
-                break
-            kept.pop()
-        kept.append(i)
-    return kept
-
-
-def corners(lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
-    """Positions of the hull corners of a compact point set (a few more may be kept)."""
-    n = len(lat)
-    if n <= 3:
-        return np.arange(n)
-    # Central projection: it maps great circles to straight lines, so hulls to hulls.
-    phi, lam = np.radians(lat), np.radians(lng)
-    phi0 = (phi.min() + phi.max()) / 2
-    dlam = lam - (lam.min() + lam.max()) / 2
-    depth = np.sin(phi0) * np.sin(phi) + np.cos(phi0) * np.cos(phi) * np.cos(dlam)
-    x = np.cos(phi) * np.sin(dlam) / depth
-    y = (np.cos(phi0) * np.sin(phi) - np.sin(phi0) * np.cos(phi) * np.cos(dlam)) / depth
-    left = np.arange(n)
-    if n > 32:
-        # Points inside the polygon of the extremes of 16 directions cannot be corners.
-        angle = np.arange(16) * (2 * np.pi / 16)
-        ext = np.argmax(np.outer(np.cos(angle), x) + np.outer(np.sin(angle), y), axis=1)
-        ext = ext[ext != np.roll(ext, 1)]  # each corner once, around the circle
-        inside = np.ones(n, dtype=bool)
-        for a, b in zip(ext, np.roll(ext, -1)):
-            dx, dy = x[b] - x[a], y[b] - y[a]
-            inside &= dx * (y - y[a]) - dy * (x - x[a]) > _MARGIN * np.hypot(dx, dy)
-        left = np.flatnonzero(~inside)
-    order = left[np.lexsort((y[left], x[left]))]
-    lower = _chain(x, y, order)
-    upper = _chain(x, -y, order)
-    return np.unique(np.array(lower + upper))
-
-
-def farthest_ends(lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
-    """Positions of points among which a farthest pair is, for any point set.
-
-    Compares all pairs, in pieces of bounded memory. Pairs that are equal up to
-    rounding errors all stay, so the exact expression decides between them.
-    """
-    n = len(lat)
-    phi, lam, cos_phi = np.radians(lat), np.radians(lng), np.cos(np.radians(lat))
-    rows = max(1, _PAIR_CHUNK // n)
-    best, ends = -np.inf, np.zeros(n, dtype=bool)
-    for start in range(0, n, rows):
-        stop = min(start + rows, n)
-        sq = (np.sin((phi[None, :] - phi[start:stop, None]) / 2) ** 2
-              + np.sin((lam[None, :] - lam[start:stop, None]) / 2) ** 2
-              * cos_phi[None, :] * cos_phi[start:stop, None])
-        # No distance exists for sq < 0 or sq > 1; such a pair outranks all others.
-        sq = np.where((sq >= 0) & (sq <= 1), sq, 2.0)
-        if sq.max() > best + 1e-12:
-            best, ends = sq.max(), np.zeros(n, dtype=bool)
-        i, j = np.nonzero(sq >= best - 1e-12)
-        ends[start + i] = True
-        ends[j] = True
-    return np.flatnonzero(ends)
-
-
-def _reduce_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``points`` (a list of lat, lng) of each row to those that can be an end."""
-    for batch in batches:
-        lists = batch.column("points")
-        offsets = lists.offsets.to_numpy()
-        values = lists.values
-        lat, lng = values.field("lat").to_numpy(), values.field("lng").to_numpy()
-        keep = []
-        for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-            reduce = corners if _is_compact(lat[lo:hi], lng[lo:hi]) else farthest_ends
-            keep.append(lo + reduce(lat[lo:hi], lng[lo:hi]))
-        sizes = np.array([len(k) for k in keep], dtype=np.int32)
-        taken = values.take(pa.array(np.concatenate(keep) if keep else np.zeros(0, np.int64)))
-        new = pa.ListArray.from_arrays(
-            pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), taken)
-        at = batch.schema.get_field_index("points")
-        yield batch.set_column(at, batch.schema.field(at).with_type(new.type), new)
-
-
-def _reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``dataset, subscriber, lat, lng`` to the corners of each key in each batch."""
-    for batch in batches:
-        lat, lng = batch.column("lat").to_numpy(), batch.column("lng").to_numpy()
-        keys = [batch.column(c).dictionary_encode() for c in SUBSCRIBER_DAY]
-        code = (keys[0].indices.to_numpy().astype(np.int64) * (len(keys[1].dictionary) + 1)
-                + keys[1].indices.to_numpy())
-        order = np.argsort(code, kind="stable")
-        cuts = np.flatnonzero(np.diff(code[order])) + 1
-        keep = [rows[corners(lat[rows], lng[rows])]
-                for rows in np.split(order, cuts) if len(rows)]
-        if keep:
-            yield batch.take(pa.array(np.concatenate(keep)))
 
+_MARGIN = 1e-12  # radians: a tower is dropped only if it is inside by more than this
+_WIDE_BLOCKS = 64
 
-# ---- the operator ---------------------------------------------------------------------
 
-def _group_extents(points: DataFrame, keys: Sequence[str], few: int) -> DataFrame:
-    """``keys, _sine``: the largest chord sine of each group of ``lat, lng`` rows."""
-    groups = points.groupBy(*keys).agg(F.collect_list(F.struct(*CELL)).alias("points"))
-    schema = T.StructType([points.schema[k] for k in keys] + [T.StructField(
-        "points", T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in CELL])))])
-    small = groups.filter(F.size("points") <= few)
-    large = groups.filter(F.size("points") > few).mapInArrow(_reduce_groups, schema)
+# ---- expressions over an array of (lat, lng) ------------------------------------------
+# As SQL text: nested lambdas read no worse in it, and each is one call to the JVM.
 
-    with_cos = F.transform("points", lambda p: F.struct(
-        p["lat"].alias("lat"), p["lng"].alias("lng"), cos_degrees(p["lat"]).alias("cos")))
+def _box(points: str) -> Column:
+    lat, lng = f"transform({points}, p -> p.lat)", f"transform({points}, p -> p.lng)"
+    return F.expr(f"""named_struct(
+        'south', array_min({lat}), 'north', array_max({lat}),
+        'west', array_min({lng}), 'east', array_max({lng}))""")
 
-    def farthest_from(p):
-        return F.aggregate("points", F.lit(0.0), lambda best, q: F.greatest(
-            best, chord_sine(p["lat"], p["lng"], p["cos"], q["lat"], q["lng"], q["cos"])))
 
-    sine = F.aggregate("points", F.lit(0.0),
-                       lambda best, p: F.greatest(best, farthest_from(p)))
-    return (small.unionByName(large).withColumn("points", with_cos)
-            .select(*keys, sine.alias("_sine")))
+def _is_compact(box: str) -> Column:
+    """Ordinary coordinates, and no two points are 90 degrees apart."""
+    return F.expr(f"""{box}.south >= -90 and {box}.north <= 90
+        and {box}.west >= -180 and {box}.east <= 180
+        and {box}.north - {box}.south + {box}.east - {box}.west < 89""")
 
 
-def _heavy_days(visits: DataFrame, heavy_towers: int, sample: int) -> DataFrame:
-    """Subscriber-days with very many towers, and whether their towers lie close.
+def _projected(points: str, box: str) -> str:
+    """Central projection around the middle of the box, sorted from left to right.
+    It maps great circles to straight lines, and so hulls to hulls."""
+    phi0 = f"radians(({box}.south + {box}.north) / 2)"
+    dlam = f"radians(p.lng - ({box}.west + {box}.east) / 2)"
+    depth = (f"(sin({phi0}) * sin(radians(p.lat))"
+             f" + cos({phi0}) * cos(radians(p.lat)) * cos({dlam}))")
+    return f"""array_sort(transform({points}, p -> named_struct(
+        'x', cos(radians(p.lat)) * sin({dlam}) / {depth},
+        'y', (cos({phi0}) * sin(radians(p.lat))
+              - sin({phi0}) * cos(radians(p.lat)) * cos({dlam})) / {depth},
+        'lat', p.lat, 'lng', p.lng)))"""
 
-    Found in a sample by hash, which is the same at every run and needs almost no
-    shuffle. It only chooses the way; every visit is used on each. At most
-    HEAVY_KEYS rows.
+
+def _boundary(ordered: str, side: int) -> str:
+    """Lower (``side`` 1) or upper (-1) boundary of points ordered from left to right.
+
+    Point by point, the end of the boundary is cut back to the last place where it
+    still turns towards the new point. Nearly straight places stay.
     """
-    sampled = visits.filter(F.pmod(F.xxhash64(*SUBSCRIBER_DAY, *CELL), F.lit(sample)) == 0)
-    counts = sampled.groupBy(*SUBSCRIBER_DAY).agg(F.count("*").alias("n"))
-    keys = heaviest(counts, SUBSCRIBER_DAY, "n", max(1, heavy_towers // sample))
-    box = (visits.join(F.broadcast(keys), SUBSCRIBER_DAY).groupBy(*SUBSCRIBER_DAY)
-           .agg(*(f(c).alias(f"{n}_{c}") for c in CELL
-                  for n, f in (("lo", F.min), ("hi", F.max)))))
-    compact = ((F.col("lo_lat") >= -90) & (F.col("hi_lat") <= 90)
-               & (F.col("lo_lng") >= -180) & (F.col("hi_lng") <= 180)
-               & (F.col("hi_lat") - F.col("lo_lat") + F.col("hi_lng") - F.col("lo_lng") < 89))
-    return box.select(*SUBSCRIBER_DAY, compact.alias("_compact"))
+    a, b = "line[i - 2]", "line[i - 1]"
+    turns = f"""{side} * ((p.x - {a}.x) * ({b}.y - {a}.y) - (p.y - {a}.y) * ({b}.x - {a}.x))
+        <= {_MARGIN}D * sqrt((p.x - {a}.x) * (p.x - {a}.x) + (p.y - {a}.y) * (p.y - {a}.y))"""
+    return f"""aggregate({ordered}, slice({ordered}, 1, 0), (line, p) -> concat(
+        if(size(line) < 2, line, slice(line, 1, coalesce(
+            array_max(filter(sequence(2, greatest(size(line), 2)), i -> {turns})), 1))),
+        array(p)))"""
+
+
+def _corners(points: str, box: str) -> Column:
+    # Once per row: the sorted points are the one element of an outer array.
+    return F.expr(f"""transform(array({_projected(points, box)}), ps -> transform(
+        array_distinct(concat({_boundary('ps', 1)}, {_boundary('ps', -1)})),
+        p -> named_struct('lat', p.lat, 'lng', p.lng)))[0]""")
+
+
+def _largest_sine(points: str) -> Column:
+    """Largest chord sine over all ordered pairs, as both directions may round apart."""
+    sine = """sqrt(pow(sin(radians(q.lat - p.lat) / 2), 2D)
+        + pow(sin(radians(q.lng - p.lng) / 2), 2D) * p.cos * q.cos)"""
+    return F.expr(f"""transform(
+        array(transform({points}, p -> named_struct(
+            'lat', p.lat, 'lng', p.lng, 'cos', cos(radians(p.lat))))),
+        ps -> aggregate(ps, 0D, (best, p) -> greatest(best, aggregate(
+            ps, 0D, (far, q) -> greatest(far, {sine})))))[0]""")
+
+
+# ---- the operator ---------------------------------------------------------------------
+
+def _reduced_days(visits: DataFrame, few: int, buckets: int) -> DataFrame:
+    """``dataset, subscriber, points, box, _redo`` with points reduced where possible.
+
+    ``_redo``: buckets were reduced, but the day turns out to span too much for it.
+    """
+    point = F.struct(*CELL)
+    many = F.size("points") > few
+    parts = (visits.groupBy(*SUBSCRIBER_DAY, spread_of(CELL, buckets).alias("_bucket"))
+             .agg(F.collect_list(point).alias("points"))
+             .withColumn("box", F.when(many, _box("points")))
+             .withColumn("_cut", many & _is_compact("box"))
+             .select(*SUBSCRIBER_DAY, "box", "_cut",
+                     F.when(F.col("_cut"), _corners("points", "box"))
+                     .otherwise(F.col("points")).alias("points")))
+    days = (parts.groupBy(*SUBSCRIBER_DAY)
+            .agg(F.flatten(F.collect_list("points")).alias("points"),
+                 F.max("_cut").alias("_cut"),
+                 F.min("box.south").alias("south"), F.max("box.north").alias("north"),
+                 F.min("box.west").alias("west"), F.max("box.east").alias("east")))
+    left = _box("points")
+    box = F.struct(F.least("south", left["south"]).alias("south"),
+                   F.greatest("north", left["north"]).alias("north"),
+                   F.least("west", left["west"]).alias("west"),
+                   F.greatest("east", left["east"]).alias("east"))
+    days = days.select(*SUBSCRIBER_DAY, "points", "_cut",
+                       F.when(many | F.col("_cut"), box).alias("box"))
+    compact = _is_compact("box")
+    return days.select(
+        *SUBSCRIBER_DAY, (F.col("_cut") & ~compact).alias("_redo"),
+        F.when(many & compact, _corners("points", "box"))
+        .otherwise(F.col("points")).alias("points"))
+
+
+def _wide_days(visits: DataFrame, days: DataFrame) -> DataFrame:
+    """Large days that span more than a quarter of the globe: their towers are cut into
+    blocks, and every pair of blocks is a group, compared pair by pair."""
+    block = spread_of(CELL, _WIDE_BLOCKS)
+    pair = F.transform(F.sequence(F.lit(0), F.lit(_WIDE_BLOCKS - 1)), lambda other: F.struct(
+        F.least(block, other).alias("a"), F.greatest(block, other).alias("b")))
+    return (semi_join_spread(visits, days, SUBSCRIBER_DAY, CELL)
+            .select(*SUBSCRIBER_DAY, F.struct(*CELL).alias("point"),
+                    F.explode(pair).alias("_pair"))
+            .groupBy(*SUBSCRIBER_DAY, "_pair").agg(F.collect_list("point").alias("points"))
+            .select(*SUBSCRIBER_DAY, _largest_sine("points").alias("_sine"))
+            .groupBy(*SUBSCRIBER_DAY).agg(F.max("_sine").alias("_sine")))
 
 
 def daily_extent(visits: DataFrame, few_towers: int = FEW_TOWERS,
-                 heavy_towers: int = HEAVY_TOWERS, sample: int = _SAMPLE) -> DataFrame:
+                 buckets: int = SPREAD) -> DataFrame:
     """``dataset, subscriber, haversine``: extent in km, rounded to two digits.
 
     ``visits`` are distinct (see ``unique_visits``). A day with one tower has 0.0. The
@@ -199,29 +148,9 @@ def daily_extent(visits: DataFrame, few_towers: int = FEW_TOWERS,
     of the rounded ones.
     """
     visits = visits.select(*SUBSCRIBER_DAY, *CELL)
-    routed = visits.join(F.broadcast(_heavy_days(visits, heavy_towers, sample)),
-                         SUBSCRIBER_DAY, "left")
-
-    # Ordinary days, and the reduced rest of heavy ones: one group, one task each.
-    ordinary = routed.filter(F.col("_compact").isNull()).drop("_compact")
-    heavy = routed.filter(F.col("_compact")).drop("_compact")
-    heavy = (heavy.mapInArrow(_reduce_rows, heavy.schema)
-             .repartition(*SUBSCRIBER_DAY, spread_of(CELL, _REDUCE_BUCKETS))
-             .mapInArrow(_reduce_rows, heavy.schema))
-    extents = _group_extents(ordinary.unionByName(heavy), SUBSCRIBER_DAY, few_towers)
-
-    # Heavy days that span more than a quarter of the globe have no such reduction.
-    # Their towers are cut into blocks and every pair of blocks is a group of its own.
-    block = spread_of(CELL, _WIDE_BLOCKS)
-    pair = F.transform(F.sequence(F.lit(0), F.lit(_WIDE_BLOCKS - 1)), lambda other: F.struct(
-        F.least(block, other).alias("a"), F.greatest(block, other).alias("b")))
-    wide = (routed.filter(~F.col("_compact"))
-            .select(*SUBSCRIBER_DAY, *CELL, F.explode(pair).alias("_pair")))
-    wide_extents = (_group_extents(wide, [*SUBSCRIBER_DAY, "_pair"], few_towers)
-                    .groupBy(*SUBSCRIBER_DAY).agg(F.max("_sine").alias("_sine")))
-    return extents.unionByName(wide_extents).select(
+    days = _reduced_days(visits, few_towers, buckets)
+    done = (days.filter(~F.coalesce("_redo", F.lit(False)))
+            .select(*SUBSCRIBER_DAY, _largest_sine("points").alias("_sine")))
+    wide = _wide_days(visits, days.filter("_redo").select(*SUBSCRIBER_DAY))
+    return done.unionByName(wide).select(
         *SUBSCRIBER_DAY, F.round(chord_sine_to_km(F.col("_sine")), 2).alias("haversine"))
-
-
-__all__ = ["FEW_TOWERS", "HEAVY_TOWERS", "HEAVY_KEYS", "corners", "daily_extent",
-           "farthest_ends"]

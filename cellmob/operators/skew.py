@@ -88,13 +88,15 @@ def top_k_with_ties(rows: DataFrame, group: str, value: str, k: int,
     group, ties included, and Spark prunes them before the shuffle. The k-th value of a
     group then follows from the counts of the distinct values that are left, and a
     comparison with it finishes. No task ever sees a whole group. The thresholds are
-    one row per group (the groups are days), hence the broadcast.
+    one row per group (the groups are days), hence the broadcast. The first of
+    ``spread_by`` must not be null.
     """
     by_bucket = W.partitionBy(group, "_spread").orderBy(F.col(value).desc())
     best = (rows.withColumn("_spread", spread_of(spread_by))
             .withColumn("_rank", F.rank().over(by_bucket))
             .filter(F.col("_rank") <= k).drop("_spread", "_rank"))
-    counts = best.groupBy(group, value).agg(F.count("*").alias("_n"))
+    # Counting a column keeps it in the shuffle, so that both uses of it are one.
+    counts = best.groupBy(group, value).agg(F.count(spread_by[0]).alias("_n"))
     above = F.sum("_n").over(W.partitionBy(group).orderBy(F.col(value).desc())
                              .rowsBetween(W.unboundedPreceding, -1))
     limits = (counts.withColumn("_above", F.coalesce(above, F.lit(0)))

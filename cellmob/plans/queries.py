@@ -11,7 +11,11 @@ from cellmob.operators.events import hour_frames, unique_cells, unique_visits
 from cellmob.operators.extent import daily_extent
 from cellmob.operators.neighbours import nearest_cells
 from cellmob.operators.arrivals import trails_ending_within
-from cellmob.schema import AIRPORT, Area
+from cellmob.schema import AIRPORT, SUBSCRIBER_DAY, Area
+
+
+def _by_time(trails: DataFrame) -> DataFrame:
+    return trails.orderBy(*SUBSCRIBER_DAY, "timestamp")
 
 
 def extents(events: DataFrame) -> DataFrame:
@@ -19,29 +23,36 @@ def extents(events: DataFrame) -> DataFrame:
 
 
 def metadata(events: DataFrame) -> DataFrame:
-    return distance_metadata(extents(events))
+    return distance_metadata(extents(events)).orderBy("dataset")
 
 
 def quartiles(events: DataFrame, by_day: bool = True) -> DataFrame:
-    return distance_quantiles(extents(events), by_day)
+    order = ["dataset", "quantile"] if by_day else ["quantile"]
+    return distance_quantiles(extents(events), by_day).orderBy(*order)
 
 
 def cume_dist(events: DataFrame, by_day: bool = True) -> DataFrame:
-    return distance_cume_dist(extents(events), by_day)
+    out = distance_cume_dist(extents(events), by_day)
+    return out.orderBy("dataset", "haversine") if by_day else out
 
 
 def longest_path_trails(events: DataFrame, k: int = 5) -> DataFrame:
-    return trails_of(events, longest_paths(extents(events), k))
+    return _by_time(trails_of(events, longest_paths(extents(events), k)))
 
 
 def airport_trails(events: DataFrame, area: Area = AIRPORT) -> DataFrame:
-    return trails_ending_within(events, area)
+    return _by_time(trails_ending_within(events, area))
 
 
 def crowd(events: DataFrame) -> DataFrame:
+    """Unsorted, as other questions build on it; ``crowd_series`` is the report."""
     return cell_crowd(hour_frames(events))
 
 
+def crowd_series(events: DataFrame) -> DataFrame:
+    return crowd(events).orderBy("dataset", "dataframe")
+
+
 def crowd_features(events: DataFrame, k: int = 3, mode: str = "global",
                    dedup: bool = False) -> DataFrame:
     return knn_features(crowd(events), nearest_cells(unique_cells(events), k), mode, dedup)
