@@ -35,7 +35,10 @@ def evaluate(predictions: DataFrame, label: str, prediction: str = "prediction")
     spread = F.sum(n * y * y) - sum_y * sum_y / total
     errors = pairs.agg(
         F.sqrt(F.sum("sq") / total).alias("rmse"), (F.sum("ab") / total).alias("mae"),
-        (F.lit(1.0) - F.try_divide(F.sum("sq"), spread)).alias("r2"),
+        # labels that are all equal leave nothing to explain
+        F.when(spread != 0, F.lit(1.0) - F.try_divide(F.sum("sq"), spread))
+        .when(F.sum("sq") == 0, F.lit(float("nan")))
+        .otherwise(F.lit(float("-inf"))).alias("r2"),
         (F.sum(F.when(F.col("_class") == y, n).otherwise(0)) / total).alias("accuracy"))
 
     hits = F.when(F.col("_class") == y, n).otherwise(F.lit(0))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, LogisticRegression, NaiveBayes)
@@ -17,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmob.operators.evaluate import evaluate
+from cellmob.operators.holding import hold
+from cellmob.schema import FRAME_CELL
 
 # The columns the models see, with and without the position.
 FEATURES = ["datasetIndex", "dataframe", "lat", "lng", "lastFrameCrowd",
@@ -149,17 +152,26 @@ def _evaluator(spec: ModelSpec):
     return kind(labelCol=spec.label, metricName=spec.metric)
 
 
+def _evenly(table: DataFrame) -> DataFrame:
+    """One partition per core: every iteration of every fit then uses all of them,
+    where a table that came out of a shuffle may sit in a few large partitions."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, *FRAME_CELL)
+
+
 def fit_cv(name: str, table: DataFrame, features: Sequence[str] = FEATURES,
            split: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = split_by_key,
            parallelism: int = 4) -> FittedModel:
     """Fit one of :data:`MODELS`: split, search its grid over four folds, refit the best.
 
-    Eager, and reads ``table`` many times: pass a held one (see ``hold``).
+    Eager, and reads ``table`` several times: pass a held one (see ``hold``). Days are
+    indexed and vectors assembled once for all fits, and held during the search.
     """
     spec = MODELS[name]
     if spec.label == "crowdIndex":
         table = crowd_indexer(table).transform(table)
     train, test = split(table)
+    preparation = Pipeline(stages=[day_indexer(), assembler(features)]).fit(train)
 
     settings = {"featuresCol": "features", "labelCol": spec.label}
     if spec.estimator in (LogisticRegression, LinearRegression, GeneralizedLinearRegression):
@@ -168,7 +180,7 @@ def fit_cv(name: str, table: DataFrame, features: Sequence[str] = FEATURES,
         settings["family"] = "poisson"
     if spec.is_tree:
         # The day is nominal: it needs a bin per value, one of them for unknown days.
-        days = table.agg(F.countDistinct("dataset")).first()[0]
+        days = len(preparation.stages[0].labels)
         settings.update(seed=SEED, maxBins=max(32, days + 1))
     estimator = spec.estimator(**settings)
 
@@ -178,14 +190,16 @@ def fit_cv(name: str, table: DataFrame, features: Sequence[str] = FEATURES,
     grid = grid.build()
 
     # Folds by hash, for the reasons of split_by_key.
-    folded = train.withColumn("fold", fold_of())
-    cv = CrossValidator(
-        estimator=Pipeline(stages=[day_indexer(), assembler(features), estimator]),
-        evaluator=_evaluator(spec), estimatorParamMaps=grid, numFolds=FOLDS, seed=SEED,
-        foldCol="fold", parallelism=parallelism).fit(folded)
+    folded = _evenly(preparation.transform(train.withColumn("fold", fold_of()))
+                     .select(*FRAME_CELL, spec.label, "features", "fold"))
+    with hold(folded) as rows:
+        cv = CrossValidator(
+            estimator=estimator, evaluator=_evaluator(spec), estimatorParamMaps=grid,
+            numFolds=FOLDS, seed=SEED, foldCol="fold", parallelism=parallelism).fit(rows)
+    best = PipelineModel([*preparation.stages, cv.bestModel])
     return FittedModel(
-        spec, cv.bestModel, [{p.name: v for p, v in point.items()} for point in grid],
-        list(cv.avgMetrics), cv.bestModel.transform(test))
+        spec, best, [{p.name: v for p, v in point.items()} for point in grid],
+        list(cv.avgMetrics), best.transform(test))
 
 
 def _details(fitted: FittedModel) -> dict[str, Sequence[float]]:
@@ -204,7 +218,9 @@ def _details(fitted: FittedModel) -> dict[str, Sequence[float]]:
             deviance=[s.deviance], aic=[s.aic],
             residual_degrees_of_freedom=[s.residualDegreeOfFreedom],
             residual_degrees_of_freedom_null=[s.residualDegreeOfFreedomNull])
-        if model.getOrDefault("regParam") == 0:
+        try:
             out.update(standard_errors=s.coefficientStandardErrors,
                        t_values=s.tValues, p_values=s.pValues)
+        except PySparkException:
+            pass  # a singular problem was solved by iteration, which yields none
     return out

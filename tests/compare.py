@@ -42,7 +42,7 @@ def difference(df, con, sql):
     if types[:half] != types[half:]:
         return f"types {types[half:]} instead of {types[:half]}"
     for a, b in zip(want[1], got[1]):
-        if a != b:
+        if a != b and repr(a) != repr(b):  # NaN equals nothing
             return f"row {b} instead of {a}"
     return None
 
