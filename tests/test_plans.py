@@ -22,6 +22,7 @@ def test_no_pairs_and_no_python(spark, name):
 
 
 def test_area_and_columns_reach_the_scan(spark, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 10000)
     spark.createDataFrame([], RAW_EVENT).write.parquet(str(tmp_path / "p"))
     text = plan(reduce_events(read_events_parquet(spark, str(tmp_path / "p")), AIRPORT))
     scan = text[text.index("PushedFilters"):]
