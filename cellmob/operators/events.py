@@ -19,7 +19,11 @@ def reduce_events(events: DataFrame, area: Area | None = None, day_format: str =
     rows with a null or NaN. Everything is spelled as plain comparisons, so that all
     but the NaN tests are pushed into the scan.
     """
-    out = events.select(day_key("timestamp", day_format).alias("dataset"),
+    # The day is null only where the timestamp is, and those rows go. Coalesced, it is
+    # known not to be null: joins then add no null check of their own to some uses of
+    # the table, which would keep them from sharing a scan and a shuffle.
+    day = F.coalesce(day_key("timestamp", day_format), F.lit(""))
+    out = events.select(day.alias("dataset"),
                         "subscriber", "timestamp", "lat", "lng")
     if min_lat is not None:
         out = out.filter(F.col("lat") > F.lit(float(min_lat)))
@@ -56,8 +60,9 @@ def drop_singletons(events: DataFrame) -> DataFrame:
 
 def hour_frames(events: DataFrame) -> DataFrame:
     """One row per event: day, hour of day, tower."""
-    return events.select("dataset", hour_frame("timestamp").alias("dataframe"),
-                         *CELL).select(*FRAME_CELL)
+    hour = F.coalesce(hour_frame("timestamp"), F.lit(0))  # never null, as in reduce_events
+    return (events.filter(F.col("timestamp").isNotNull())
+            .select("dataset", hour.alias("dataframe"), *CELL).select(*FRAME_CELL))
 
 
 def profile(df: DataFrame) -> DataFrame:

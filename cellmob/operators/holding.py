@@ -4,22 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from uuid import uuid4
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder the cluster names for checkpoints, if it does."""
+    return (spark.conf.get("spark.checkpoint.dir", None)
+            or spark.sparkContext.getCheckpointDir())
 
 
 @contextmanager
 def hold(df: DataFrame, cut: bool = False) -> Iterator[DataFrame]:
     """Keep ``df`` for the block: in memory, spilling to disk, computed once.
 
-    With ``cut`` and a checkpoint folder in the session (``spark.checkpoint.dir``), the
-    table is written there instead, so that an executor lost in a long run costs a read
-    and not a recomputation from the events.
+    With ``cut`` and a shared folder (``spark.checkpoint.dir``), the table is written
+    there as Parquet instead. Later uses read only the columns they need, and an executor
+    lost in a long run costs a read, not a recomputation from the events. Like Spark's own
+    checkpoints, the files are left to whoever clears that folder.
     """
-    spark = df.sparkSession
-    if cut and spark.sparkContext.getCheckpointDir():
-        yield df.checkpoint()
+    folder = shared_folder(df.sparkSession) if cut else None
+    if folder:
+        path = f"{folder}/held-{uuid4().hex}"
+        df.write.parquet(path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
         return
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:

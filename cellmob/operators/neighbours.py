@@ -39,7 +39,9 @@ def _cube_id(level: Column, *xyz: Column) -> Column:
     key = level.cast("long")
     for c in xyz:
         key = key * F.lit(2 * _OFFSET) + (c + F.lit(_OFFSET))
-    return key
+    # Never null, and coalesced the optimizer knows: else joins add a null check to some
+    # uses of a table only, which then cannot share a shuffle with the others.
+    return F.coalesce(key, F.lit(-1))
 
 
 def _position(coordinate: Column, level: Column) -> Column:
@@ -51,6 +53,7 @@ def nearest_cells(cells: DataFrame, k: int = 3) -> DataFrame:
     """``lat, lng, oLat, oLng, haversine``: towers whose rank by the distance, rounded
     to two digits, is at most ``k``. ``cells`` are distinct (see ``unique_cells``)."""
     lat, lng = F.col("lat"), F.col("lng")
+    cells = cells.filter(lat.isNotNull() & lng.isNotNull())
     points = cells.select(
         *CELL, (cos_degrees(lat) * F.cos(F.radians(lng))).alias("x"),
         (cos_degrees(lat) * F.sin(F.radians(lng))).alias("y"),
@@ -95,7 +98,7 @@ def nearest_cells(cells: DataFrame, k: int = 3) -> DataFrame:
         gap = F.greatest(low - F.col(c), F.col(c) - (low + F.col("_side")), F.lit(0.0))
         gap_sq = gap_sq + gap * gap
         asked = asked.filter(gap_sq <= F.col("_chord") * F.col("_chord"))
-    asked = asked.select(*CELL, "level", _cube_id(
+    asked = asked.select(*CELL, _cube_id(
         level, *(F.col(f"_{c}") for c in xyz)).alias("cube"))
 
     pairs = _join_cubes(asked, members).filter(
@@ -109,9 +112,7 @@ def nearest_cells(cells: DataFrame, k: int = 3) -> DataFrame:
 
 def _join_cubes(asked: DataFrame, members: DataFrame) -> DataFrame:
     """Towers with the members of the cubes they ask; crowded cubes are split."""
-    levels = F.broadcast(asked.select("level").distinct())  # at most 19 rows
-    held = (members.join(levels, "level", "left_semi")
-            .select("cube", F.col("lat").alias("oLat"), F.col("lng").alias("oLng")))
+    held = members.select("cube", F.col("lat").alias("oLat"), F.col("lng").alias("oLng"))
     heavy = F.broadcast(
         heaviest(held.groupBy("cube").agg(F.count("*").alias("n")), ["cube"], "n", _HEAVY_CUBE)
         .withColumn("_heavy", F.lit(True)))

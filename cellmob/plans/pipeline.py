@@ -42,7 +42,7 @@ def run(raw: DataFrame, out: str, parts: Collection[str] = PARTS, area: Area | N
     def save(df: DataFrame, name: str, *order_by: str) -> None:
         write(df, f"{out}/{name}", order_by=order_by or None, single_file=single_file)
 
-    with hold(reduce_events(raw, area, day_format)) as events:
+    with hold(reduce_events(raw, area, day_format), cut=True) as events:
         if "profiles" in parts:
             save(profile(raw), "profiles/original")
             save(profile(events), "profiles/reduced")
