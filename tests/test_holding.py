@@ -16,7 +16,3 @@ def test_cut_writes_a_table(spark, monkeypatch, tmp_path):
         assert sorted(r.v for r in df.collect()) == list(range(0, 20, 2))
         assert "FileScan parquet" in df._jdf.queryExecution().executedPlan().toString()
     assert len(list(tmp_path.glob("held-*/*.parquet"))) > 0
-
-
-def test_no_folder_is_made_up(spark):
-    assert holding.shared_folder(spark) is None
