@@ -8,7 +8,8 @@ start over from the shuffle. Each task of the scan does this first with its own
 that of a group of copies, however large, at most one row per task is shuffled.
 
 Defined cases: null text counts as empty; an empty table gives an empty result; repeated
-rows are copies of each other and return one row each; other columns are not read.
+rows are copies of each other and return one row each, all marked kept if their id is the
+one that stays; rows without an id stay only if no copy has one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -170,6 +171,13 @@ def dedup(docs: DataFrame) -> DataFrame:
         F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
+def keep_first(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept; rows which share a kept id all stay."""
+    kept = dedup(docs).where("kept").select("doc_id").distinct()
+    return docs.join(kept.where("doc_id is not null"), "doc_id", "left_semi").unionByName(
+        docs.where("doc_id is null"))
+
+
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -93,6 +93,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
                     (epochs * F.col("size") + rest).cast("long").alias("taken")))
 
 
+def repeated(docs: DataFrame) -> DataFrame:
+    """``docs`` as the mix takes them: each row as many times as its whole size is taken.
+    The one row at a source's cut counts if the larger part of it is taken; rows without
+    words are never taken."""
+    taken = mix(docs.select(*docs.columns), payload=tuple(c for c in docs.columns if c not in (
+        "doc_id", "size", "source_size", "target", "taken")))
+    times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
+    return (taken.where("size > 0").withColumn("_times", times).where("_times > 0")
+            .withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+            .select(*docs.columns))
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source")
     return mix(docs).withColumn("target", F.round("target", 6))
