@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 import cellmob.llm
 
@@ -22,15 +24,12 @@ def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], Iterable[di
             for columns in per_batch(batch):
                 yield pa.RecordBatch.from_pydict(columns, schema=arrow)
 
-    arrow = arrow_schema(df, schema)
+    arrow = arrow_schema(schema)
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(df: DataFrame, schema: str) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    return to_arrow_schema(StructType.fromDDL(schema))
+def arrow_schema(schema: str | StructType) -> pa.Schema:
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def texts_of(column: pa.Array) -> list[str | None]:

@@ -117,7 +117,7 @@ _RECORD = "h long, content binary, n_chars long, keep_id long, n long"
 
 
 def _reduce(records_of, df: DataFrame, schema: str, row) -> DataFrame:
-    arrow = arrow_schema(df, schema)
+    arrow = arrow_schema(schema)
 
     def packed(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(

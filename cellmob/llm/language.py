@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmob.llm.arrow import bytes_of, map_batches
+from cellmob.llm.arrow import arrow_schema, bytes_of, map_batches
 from cellmob.llm.quality import remainder
 
 BUCKETS = 1 << 15
@@ -192,27 +192,29 @@ def train(docs: DataFrame) -> Languages:
 
 def predict(docs: DataFrame, model: Languages) -> DataFrame:
     """Per row: doc_id, lang_pred, score, rejected."""
-    return map_batches(docs.select("doc_id", "text"), _predictor(model, ["doc_id"]),
-                       "doc_id long, lang_pred string, score double, rejected boolean")
-
-
-def _predictor(model: Languages, columns: list[str]):
     def predicted(batch: pa.RecordBatch) -> Iterator[dict]:
         found = [model.predict(t) for t in bytes_of(batch.column("text"))]
-        yield {**{c: batch.column(c) for c in columns},
-               "lang_pred": [x[0] for x in found], "score": [x[1] for x in found],
-               "rejected": [x[0] == UNKNOWN or x[1] < model.least for x in found]}
+        yield {"doc_id": batch.column("doc_id"), "lang_pred": [x[0] for x in found],
+               "score": [x[1] for x in found], "rejected": [_rejected(model, *x) for x in found]}
+
+    return map_batches(docs.select("doc_id", "text"), predicted,
+                       "doc_id long, lang_pred string, score double, rejected boolean")
+
 
-    return predicted
+def _rejected(model: Languages, name: str, score: float) -> bool:
+    return name == UNKNOWN or score < model.least
 
 
 def accepted(docs: DataFrame, model: Languages) -> DataFrame:
     """The rows of ``docs`` whose text is not rejected."""
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    marked = map_batches(docs, _predictor(model, names),
-                         f"{schema}, lang_pred string, score double, rejected boolean")
-    return marked.where("not rejected").select(*names)
+    schema = arrow_schema(docs.schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [not _rejected(model, *model.predict(t)) for t in bytes_of(batch.column("text"))]
+            yield batch.filter(pa.array(kept, pa.bool_())).cast(schema)
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:

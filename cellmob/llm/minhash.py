@@ -236,7 +236,7 @@ def _across(members: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame
         .withColumns({"x": F.least("_mine", "_other"), "y": F.greatest("_mine", "_other")})
         .join(classes.select("rep", "n", "minhash"), "rep")
         .select("bucket", "x", "y", "rep", "component", "n", "minhash"))
-    schema = arrow_schema(members, "a long, b long")
+    schema = arrow_schema("a long, b long")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellmob.llm.prefix import random_key, running_total
-from cellmob.llm.scratch import written
+from cellmob.llm.scratch import small, written
 
 WEIGHTS = (3, 1, 2)
 
@@ -83,12 +83,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
         (words() if size is None else size).alias("size"),
         random_key(F.col("doc_id")).alias("_key")), "sized")
     targets = written(source_targets(sized, weights, share, most), "targets")
-    placed = running_total(sized, "_source", "_key", ["doc_id", "size", *payload], "size", "_before")
+    placed = running_total(sized, "_source", "_key", ["doc_id", "size"], "size", "_before")
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     rest = F.greatest(F.lit(0), F.least(
         F.col("size"), budget - epochs * F.col("source_size") - F.col("_before")))
-    return (placed.join(targets, "_source")
+    return (placed.join(small(targets), "_source")
             .select("doc_id", *payload, "size", "source_size", "target",
                     (epochs * F.col("size") + rest).cast("long").alias("taken")))
 
@@ -97,12 +97,12 @@ def repeated(docs: DataFrame) -> DataFrame:
     """``docs`` as the mix takes them: each row as many times as its whole size is taken.
     The one row at a source's cut counts if the larger part of it is taken; rows without
     words are never taken."""
-    taken = mix(docs.select(*docs.columns), payload=tuple(c for c in docs.columns if c not in (
-        "doc_id", "size", "source_size", "target", "taken")))
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias("_row"))
+    taken = mix(rows, payload=("_row",))
     times = F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))).cast("int")
     return (taken.where("size > 0").withColumn("_times", times).where("_times > 0")
             .withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-            .select(*docs.columns))
+            .select("_row.*"))
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellmob.llm.scratch import small, written
+
 _ROWS = 256
 _KEY_BITS = 60
 
@@ -34,7 +36,7 @@ def running_total(df: DataFrame, group: str, key: str, ties: list[str], value: s
     """
     rows = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
     bits = F.ceil(F.log2(F.greatest(F.col("_n") / _ROWS, F.lit(1.0)))).cast("int")
-    rows = rows.select("_g", F.least(bits, F.lit(40)).alias("_bits"))
+    rows = small(written(rows.select("_g", F.least(bits, F.lit(40)).alias("_bits")), "groups"))
 
     fine = F.expr(f"shiftright({key}, {_KEY_BITS} - _bits)")
     parts = (df.join(rows, df[group] == rows["_g"])

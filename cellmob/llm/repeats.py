@@ -357,7 +357,7 @@ def _fragments(docs: DataFrame, rest: DataFrame, unit: Unit) -> DataFrame:
 
 def _compared(fragments: DataFrame, unit: Unit) -> DataFrame:
     """Spans of repeated windows, the fragments of a gram compared in one task."""
-    schema = arrow_schema(fragments, _SPAN)
+    schema = arrow_schema(_SPAN)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_gram(batches):

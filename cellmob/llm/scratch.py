@@ -12,6 +12,7 @@ import tempfile
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
 
@@ -37,6 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(table: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``table``, narrow and written, marked for broadcast if its rows are counted as few.
+    Beyond that a join shuffles, and Spark splits its hot keys."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
 @atexit.register
 def clear() -> None:
     """Delete all tables written so far; results that still read them end with this."""

@@ -191,7 +191,7 @@ def top_k(vectors: DataFrame, queries: Column, k: int = K, pivots: int = PIVOTS)
              .join(asks.withColumn("_part", F.explode(
                  F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>"))), ["_q", "_part"])
              .select("_q", "_part", "_qids", "_qx", "ids", "x"))
-    found = pairs.mapInArrow(_searcher(space, width, k, arrow_schema(pairs, _FOUND)), _FOUND)
+    found = pairs.mapInArrow(_searcher(space, width, k, arrow_schema(_FOUND)), _FOUND)
     return _merged(found, k)
 
 
