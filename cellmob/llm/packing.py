@@ -14,11 +14,10 @@ read.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,44 +25,85 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmob.llm.arrow import map_batches, texts_of
+from cellmob.llm.arrow import bytes_of, map_batches
 from cellmob.llm.scratch import written
 
 LENGTH = 4096
 END = 1
 CHUNK = 32_000  # pieces packed together
 UNDERFULL = 128  # bins that the search looks at in one go
-_WORDS = 200_000  # of which a task remembers the ids
+_WORDS = 800_000  # of which a task remembers the ids
+_TOGETHER = 500
+_BETWEEN = "0"  # a word of one token
+_MARKS = ".,;:!?#&*$%|"
 
-_BREAK = re.compile(r"[ \t\n\x0b\x0c\r]+")
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+_BLANKS = bytes(32 if b in b"\t\n\x0b\x0c\r" else b for b in range(256))
 
 
 class WordTokens:
     """Ids of whole texts, computed once per distinct word.
 
-    Only for tokenizers which drop white space before they split, so that the ids of a
-    text are those of its words in turn. The memory of words is emptied when full.
+    Only for tokenizers which lower letters and drop white space before they split, so that
+    the ids of a text are those of its words in turn. New words are encoded many at a time,
+    a digit between them. The memory of words is emptied when full.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
-        self._tokenizer, self._known = Tokenizer.from_file(path), {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        known, words = self._known, text.split(" ") if _plain(text) else _BREAK.split(text)
-        new = [w for w in dict.fromkeys(words) if w not in known]
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        self._tokenizer = Tokenizer.from_file(path)
+        self._known: dict[str, bytes] = {"": b""}
+        self._between, = self._tokenizer.encode(_BETWEEN, add_special_tokens=False).ids
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        if b"<|" not in text:  # else it may name a special token, in which case counts
+            text = text.translate(_LOWER)
+        words = text.translate(_BLANKS).decode().split(" ")
+        known = self._known
+        new = [w for w in set(words) if w not in known]
+        if len(known) + len(new) > _WORDS:
+            known = self._known = {"": b""}
+            new = list(set(words) - {""})
         if new:
-            if len(known) + len(new) > _WORDS:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for word, found in zip(new, self._tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[word] = found.ids
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.uint32)
-
-
-def _plain(text: str) -> bool:
-    return not any(c in text for c in "\t\n\x0b\x0c\r")
+            self._learn(new)
+        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        """A word is split off the marks at its end, which are tokens of their own, so that
+        it need not be encoded again for each of them."""
+        known, parts, todo = self._known, [], {}
+        for word in words:
+            core = word.rstrip(_MARKS)
+            if core and core != word and core[-1].isalnum() and "<|" not in word:
+                parts.append((word, core, word[len(core):]))
+                for part in parts[-1][1:]:
+                    if part not in known:
+                        todo[part] = None
+            else:
+                todo[word] = None
+        todo = list(todo)
+        for at in range(0, len(todo), _TOGETHER):
+            self._encode(todo[at:at + _TOGETHER])
+        for word, core, marks in parts:
+            known[word] = known[core] + known[marks]
+
+    def _encode(self, words: list[str]) -> None:
+        plain = [w for w in words if _BETWEEN not in w and "<|" not in w]
+        ids = self._ids(f" {_BETWEEN} ".join(plain))
+        ends = np.append(np.flatnonzero(ids == self._between), len(ids)).tolist()
+        start, data = 0, ids.tobytes()
+        for word, end in zip(plain, ends):
+            self._known[word] = data[4 * start:4 * end]
+            start = end + 1
+        if len(plain) < len(words):
+            for word in set(words).difference(plain):
+                self._known[word] = self._ids(word).tobytes()
+
+    def _ids(self, text: str) -> np.ndarray:
+        found, = self._tokenizer.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, "<u4")
 
 
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, row long"
@@ -77,8 +117,8 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
         tokens = kept.setdefault(path, None) or WordTokens(path)
         kept[path] = tokens
         out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "row")}
-        for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
-            ids = np.append(tokens(text or ""), np.uint32(end)).astype("<u4")
+        for doc, text in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1))):
+            ids = np.append(tokens(text or b""), np.uint32(end)).astype("<u4")
             for n, start in enumerate(range(0, len(ids), length)):
                 part = ids[start:start + length]
                 crc = zlib.crc32(part.tobytes())

@@ -123,7 +123,7 @@ def check_shards(rows, got, shards, capacity):
 
 
 def test_shards(frame, nasty):
-    rows = nasty + [(1000 + i, "copy " * 20, "en", "a") for i in range(400)]
+    rows = [r for r in nasty if len(r[1] or "") < 10_000] + [(1000 + i, "copy " * 20, "en", "a") for i in range(400)]
     rows += [(2000 + i, f"{i} " * (i % 50 + 20), "en", "a") for i in range(3000)]
     docs = frame(rows).select("doc_id", "text")
     placed = sharding.shard(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 16,
@@ -148,9 +148,9 @@ def test_no_rows_no_shards(frame):
 def test_word_tokens_equal_the_tokenizer(nasty):
     plain, words = Tokenizer.from_file(WORD_BPE), packing.WordTokens(WORD_BPE)
     texts = [t for _, t, *_ in nasty if t is not None]
-    texts += ["It's I'LL ó ΣΣ x̧́ <|endoftext|> a<|startoftext|>b", "　a  b\x85c\x1cd", "́ ́a", "12 3.4\n\n!?"]
+    texts += ["It's I'LL ó ΣΣ x̧́ <|endoftext|> a<|startoftext|>b", "　a  b\x85c\x1cd", "́ ́a", "12 3.4\n\n!? 0 00 a0b", "<|STARTOFTEXT|> A", "it's. x'. 'a', (b). c!). é.. ?! d.e. 1. ²: ...", "İI\u0307 Ⅷ ǅ ﬁ \u212a"]
     for t in texts:
-        assert words(t).tolist() == plain.encode(t, add_special_tokens=False).ids
+        assert words(t.encode()).tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
 def test_pack_round_trip(frame, nasty):
