@@ -8,12 +8,17 @@ from the threshold, so that a pair exactly at it is missed with probability ``MI
 
 1. Documents with equal sets of shingles become one class; its least id stands for it.
 2. In each bucket all classes are held against two of its members: the least, and the one
-   that meets most others. Pairs pass a comparison of minhashes, then of the full sets.
-3. Connected components of the links.
-4. Buckets that now hold several components are compared whole, class by class across
-   components, by minhashes in the tasks that hold them: in blocks, every pair of blocks
-   by one task, so that no bucket is gathered, and only similar pairs come out. They are
-   confirmed alike, and the components formed anew.
+   that meets most others. The connected components of the pairs whose minhashes agree in
+   some degree are clusters: families of texts, mostly of a few.
+3. Members of one bucket but different clusters are compared by minhashes, in the tasks
+   that hold the bucket, and what can be similar joins its clusters.
+4. The texts of a cluster meet, and an index from shingles to texts gives the exact sizes
+   of all their intersections. Each task returns links that connect what is connected in
+   it, not all links: their connected components are the same, and their number is below
+   that of the texts.
+
+Neither a bucket nor a cluster is gathered as a whole: its members fall into blocks of
+limited size, and every pair of blocks is compared by one task.
 
 Defined cases: a document without words, or with a null text, is linked with nothing; with
 fewer words than a shingle the whole sequence is one shingle; rows without an id are
@@ -29,16 +34,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellmob.llm.arrow import arrow_schema, bytes_of, map_batches
 from cellmob.llm.repeats import Powers, mixed, word_symbols
-from cellmob.llm.scratch import written
+from cellmob.llm.scratch import small, written
 
 ROWS = 3  # minhashes of a band
 MISSED = 1e-3
+LOOSE = 0.5  # share of minhashes that agree in a cluster
 BLOCK = 2048  # classes of a bucket held by one task at a time
+SHINGLES = 1_000_000  # of a cluster held by one task at a time
 _TEXTS = 400_000  # shingles hashed at once
 
 _U = np.uint64
@@ -156,50 +163,95 @@ def _alike(like: Likeness, n1, n2, m1: np.ndarray, m2: np.ndarray) -> np.ndarray
     return sizes & ((m1 == m2).sum(-1) >= like.least_agreeing)
 
 
-def promising(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b) that sizes and minhashes leave."""
+def related(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
+    """The pairs (a, b) of which at least ``LOOSE`` of the minhashes agree."""
     side = lambda x: classes.select(
-        F.col("rep").alias(x), F.col("n").alias(f"n_{x}"), F.col("minhash").alias(f"m_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select(
-        "a", "b", "n_a", "n_b", "m_a", "m_b")
+        F.col("rep").alias(x), F.col("minhash").alias(f"m_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "m_a", "m_b")
 
-    def alike(batch: pa.RecordBatch) -> Iterator[dict]:
+    def agreeing(batch: pa.RecordBatch) -> Iterator[dict]:
         m1, m2 = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32)
-                  .reshape(-1, like.hashes) for i in (4, 5))
-        kept = _alike(like, batch.column(2).to_numpy(), batch.column(3).to_numpy(), m1, m2)
+                  .reshape(-1, like.hashes) for i in (2, 3))
+        kept = (m1 == m2).sum(1) >= LOOSE * like.hashes
         yield {"a": batch.column(0).to_numpy()[kept], "b": batch.column(1).to_numpy()[kept]}
 
-    return written(map_batches(both, alike, "a long, b long"), "promising")
+    return written(map_batches(both, agreeing, "a long, b long"), "related")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # of rows that share an id the one that stands for it in its class
-    texts = written(docs.select("doc_id", "text").join(asked, "doc_id"), "texts")
-    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "t_a", "t_b")
-    powers = Powers()
+def _in_block_pairs(members: DataFrame, blocks: Column) -> DataFrame:
+    """``members`` with x and y: every pair of blocks of a bucket or cluster has all rows of
+    both, so that each two members meet."""
+    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    return (members.withColumns({"_mine": mine, "_other": F.explode(
+        F.sequence(F.lit(0), blocks - 1))})
+        .withColumns({"x": F.least("_mine", "_other"), "y": F.greatest("_mine", "_other")})
+        .drop("_mine", "_other"))
+
+
+def confirmed(labels: DataFrame, classes: DataFrame, docs: DataFrame, like: Likeness) -> DataFrame:
+    """Links (a, b) that connect all texts of a cluster which are connected by links.
+
+    ``labels`` has the cluster of each class as ``component``."""
+    members = labels.join(classes.select("rep", "n"), "rep")
+    sizes = members.groupBy("component").agg(
+        F.ceil(F.sum("n") / SHINGLES).cast("int").alias("_blocks"))
+    members = written(members.join(sizes, "component"), "clusters")
+    texts = docs.select("doc_id", "text").join(
+        small(members.withColumnRenamed("rep", "doc_id")), "doc_id")
+    # of rows which share an id each may make a link for all of them
+    dealt = (_in_block_pairs(texts.withColumnRenamed("doc_id", "rep"), F.col("_blocks"))
+             .select(F.col("component").alias("bucket"), "x", "y", "rep", "n", "text"))
+    schema, powers = arrow_schema("a long, b long"), Powers()
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            rep = group.column(3).to_numpy()
+            sets = shingle_sets(bytes_of(group.column(5)), like.words, powers)
+            a, b = _forest(rep, sets, like.percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())],
+                                             schema=schema)
 
-    def linked(batch: pa.RecordBatch) -> Iterator[dict]:
-        kept: dict[bytes, np.ndarray] = {}
-        a, b = [], []
-        for x, y, s, t in zip(*(batch.column(i).to_pylist() for i in (0, 1)),
-                              *(bytes_of(batch.column(i)) for i in (2, 3))):
-            for text in (s, t):
-                if text not in kept:
-                    if len(kept) > 64:
-                        kept.clear()
-                    kept[text] = shingle_sets([text], like.words, powers)[0]
-            if s not in kept:
-                kept[s] = shingle_sets([s], like.words, powers)[0]
-            common = len(np.intersect1d(kept[s], kept[t], assume_unique=True))
-            if 100 * common >= like.percent * (len(kept[s]) + len(kept[t]) - common):
-                a.append(x)
-                b.append(y)
-        yield {"a": a, "b": b}
-
-    return written(map_batches(both, linked, "a long, b long"), "links")
+    ordered = dealt.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return written(ordered.mapInArrow(linked, "a long, b long").distinct(), "links")
+
+
+def _forest(rep: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list, list]:
+    """Links between texts whose sets are similar enough, as few as connect them."""
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.lexsort((owner, flat))
+    owner_by_shingle, sorted_ = owner[order], flat[order]
+    new = np.concatenate([[True], sorted_[1:] != sorted_[:-1]])
+    begins = np.append(np.flatnonzero(new), len(flat))
+    shingle = np.empty(len(flat), np.int64)
+    shingle[order] = np.cumsum(new) - 1
+    ends = np.cumsum(sizes)
+    parent = np.arange(len(sets))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    a, b = [], []
+    for i in range(1, len(sets)):
+        mine = shingle[ends[i] - sizes[i]:ends[i]]
+        low, high = begins[mine], begins[mine + 1]
+        held = np.flatnonzero(high - low > 1)
+        low, count = low[held], (high - low)[held]
+        # all members which hold one of these shingles, a place for each
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        common = np.bincount(owner_by_shingle[at], minlength=i)[:i]
+        for j in np.flatnonzero((100 * common >= percent * (sizes[:i] + sizes[i] - common))
+                                & (common > 0)):
+            p, q = root(i), root(j)
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                if rep[i] != rep[j]:
+                    a.append(int(rep[i]))
+                    b.append(int(rep[j]))
+    return a, b
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -228,14 +280,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
-    """Promising pairs (a, b) of one bucket but different components."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    members = (members.withColumns({"_mine": mine, "_other": F.explode(
-        F.sequence(F.lit(0), blocks - 1))})
-        .withColumns({"x": F.least("_mine", "_other"), "y": F.greatest("_mine", "_other")})
-        .join(classes.select("rep", "n", "minhash"), "rep")
-        .select("bucket", "x", "y", "rep", "component", "n", "minhash"))
+    """Pairs (a, b) of one bucket but different clusters that can be similar."""
+    members = (_in_block_pairs(members, F.ceil(F.col("size") / BLOCK).cast("int"))
+               .join(classes.select("rep", "n", "minhash"), "rep")
+               .select("bucket", "x", "y", "rep", "component", "n", "minhash"))
     schema = arrow_schema("a long, b long")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,10 +327,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 
 def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept, n_links.
-
-    ``n_links`` is the number of confirmed links that made the component: an account of
-    what was verified, not of all pairs."""
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     like = Likeness(words, percent)
     docs = docs.select("doc_id", "text")
     signed = written(signatures(docs, like), "signed")
@@ -300,30 +345,25 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
         members.join(most, "bucket").select("rep", (-F.col("_top._minus")).alias("_star")))
     pairs = (stars.where("rep <> _star").select(
         F.least("rep", "_star").alias("a"), F.greatest("rep", "_star").alias("b")).distinct())
-    pairs = promising(pairs, classes, like)
-    links = confirmed(pairs, docs, like)
-    labels = components(links)
+    pairs = related(pairs, classes, like)
+    clusters = components(pairs)
 
-    placed = (members.where("size > 2").join(labels, "rep", "left")
+    placed = (members.where("size > 2").join(clusters, "rep", "left")
               .withColumn("component", F.coalesce("component", "rep")))
     open_ = (placed.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
              .where("_a < _b").select("bucket"))
     left = written(placed.join(open_, "bucket").select("bucket", "rep", "size", "component"), "open")
-    more = written(_across(left, classes, like).join(pairs, ["a", "b"], "left_anti"), "across")
+    more = written(_across(left, classes, like), "across")
     if not more.isEmpty():
-        links = links.unionByName(confirmed(more, docs, like))
-        labels = components(links)
-
-    counted = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(
-        F.count("*").alias("n_links"))
-    known = classes.join(labels, "rep", "left").join(counted, "rep", "left").select(
-        "one", "two", "n", F.coalesce("component", "rep").alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        clusters = components(pairs.unionByName(more))
+    labels = components(confirmed(clusters, classes, docs, like))
+
+    known = classes.join(labels, "rep", "left").select(
+        "one", "two", "n", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("n = 0 or doc_id is null").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"),
-        F.lit(0).cast("long").alias("n_links"))
+        "doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     rows = (signed.where("n > 0 and doc_id is not null").join(known, ["one", "two", "n"])
-            .select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+            .select("doc_id", F.col("n").alias("n_shingles"), "component_id")
             .unionByName(alone))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -337,7 +377,7 @@ def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs, words=3, percent=85).drop("n_links")
+    return near_duplicates(docs, words=3, percent=85)
 
 
 SQL = r"""

@@ -46,9 +46,9 @@ def test_copies_that_are_alike_through_their_original_only(frame):
     words = [f"w{i}" for i in range(2000)]
     base = [rng.choice(words) for _ in range(200)]
     rows = []
-    for i in range(40):  # each misses its own words: some 0.9 from the base, less from each other
+    for i in range(40):  # each misses its own words: 0.89 like the base, 0.78 like each other
         copy = list(base)
-        for j in rng.sample(range(200), 6):
+        for j in rng.sample(range(200), 4):
             copy[j] = f"own{i}-{j}"
         rows.append((i, " ".join(copy)))
     rows.append((99, " ".join(base)))
