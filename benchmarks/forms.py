@@ -2,8 +2,8 @@
 
 ``python benchmarks/forms.py [copies]``: the events of sf0.1, each repeated ``copies``
 times with its own subscribers and shifted towers; then every third event is given to one
-subscriber on one day. For each operator: seconds of the plain form (windows, all pairs;
-see ``tests/plain.py``), seconds of the library, and whether the results are the same.
+subscriber on one day. For each operator: seconds of the library, and, where Spark windows
+can state it (``tests/plain.py``), seconds of that form and whether the results are the same.
 """
 
 from __future__ import annotations
@@ -61,19 +61,22 @@ def main(copies: int) -> None:
             print(f"{name:12s} {df.count():>12,d} rows", flush=True)
         # Other arguments than above, or the held results would be found and read.
         forms = {
-            "extent": (lambda: plain.extent(visits), lambda: daily_extent(visits, few_towers=63)),
+            "extent": (None, lambda: daily_extent(visits, few_towers=63)),
             "quartiles": (lambda: plain.quantiles(extents),
                           lambda: D.distance_quantiles(extents)),
             "cume_dist": (lambda: plain.cume_dist(extents),
                           lambda: D.distance_cume_dist(extents)),
             "top k": (lambda: plain.longest(extents, 5), lambda: D.longest_paths(extents, 5)),
-            "nearest": (lambda: plain.nearest(cells, 3), lambda: nearest_cells(cells.repartition(8), 3)),
+            "nearest": (None, lambda: nearest_cells(cells.repartition(8), 3)),
             "lag": (lambda: plain.lagged(crowd), lambda: lag_crowd(crowd)),
-            "features": (lambda: plain.features(crowd, near), lambda: knn_features(crowd, near)),
+            "features": (None, lambda: knn_features(crowd, near)),
         }
         for name, (slow, fast) in forms.items():
             if len(sys.argv) > 2 and name not in sys.argv[2:]:
                 continue
+            if slow is None:  # the plain form is brute force on the driver
+                print(f"{name:12s} library {min(timed(fast()) for _ in range(2)):7.2f}s", flush=True)
+                continue
             times = [min(timed(f()) for _ in range(2)) for f in (slow, fast)]
             a, b = slow(), fast()
             b = b.select(*a.columns)

@@ -6,14 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cellmob.functions import weighted_crowd
 from cellmob.schema import CELL, FRAME, FRAME_CELL, KNN_FEATURE
 
 
+# Bands per degree of latitude.
+_BANDS = 64
+
+
 def cell_crowd(frames: DataFrame) -> DataFrame:
     """Number of events (not of subscribers) per day, hour and tower."""
     return frames.groupBy(*FRAME_CELL).agg(F.count("*").alias("crowd"))
 
 
+def cells_of(crowd: DataFrame) -> DataFrame:
+    """Distinct towers of a crowd table. The crowd is kept until after the shuffle, so that
+    this and other uses of the table share it."""
+    return crowd.groupBy(*CELL).agg(F.max("crowd").alias("_crowd")).select(*CELL)
+
+
 def lag_crowd(crowd: DataFrame, mode: str = "global") -> DataFrame:
     """Adds ``lastFrameCrowd``.
 
@@ -28,15 +39,20 @@ def lag_crowd(crowd: DataFrame, mode: str = "global") -> DataFrame:
     if mode != "global":
         raise ValueError(f"mode must be 'global' or 'per_cell', not {mode!r}")
     # One ordered window would put all rows into one task. So look back inside bands of
-    # one degree of latitude of a frame, and only the first row of a band looks at the
-    # last one of the band before. There are at most 366 * 24 * 183 bands in MM.dd days,
-    # whatever the number of rows.
+    # latitude of a frame (some 1.7 km high), and only the first row of a band looks at the
+    # last one of the band before. The ends of bands are ordered inside a day, at most
+    # 24 * 183 * _BANDS of them, and only the first band of a day looks at the day before:
+    # one task sees a row per day.
     keys = [*FRAME, "_band"]
-    banded = crowd.withColumn(
-        "_band", F.least(F.greatest(F.floor("lat"), F.lit(-91)), F.lit(91)).cast("int"))
-    ends = (banded.groupBy(*keys).agg(F.max_by("crowd", F.struct(*CELL)).alias("_last"))
-            .withColumn("_before", F.lag("_last", 1, 0).over(W.orderBy(*keys)))
-            .drop("_last"))
+    banded = crowd.withColumn("_band", F.floor(F.least(F.greatest(
+        F.col("lat"), F.lit(-91.0)), F.lit(91.0)) * _BANDS).cast("int"))
+    ends = banded.groupBy(*keys).agg(F.max_by("crowd", F.struct(*CELL)).alias("_last"))
+    days = (ends.groupBy("dataset").agg(
+        F.max_by("_last", F.struct("dataframe", "_band")).alias("_end"))
+        .withColumn("_day_before", F.lag("_end", 1, 0).over(W.orderBy("dataset"))).drop("_end"))
+    in_day = W.partitionBy("dataset").orderBy("dataframe", "_band")
+    ends = (ends.withColumn("_before", F.lag("_last").over(in_day)).join(days, "dataset")
+            .select(*keys, F.coalesce("_before", "_day_before").alias("_before")))
     inside = F.lag("crowd").over(W.partitionBy(*keys).orderBy(*CELL))
     return (banded.withColumn("_inside", inside).join(ends, keys)
             .withColumn("lastFrameCrowd", F.coalesce("_inside", "_before"))
@@ -66,3 +82,13 @@ def knn_features(crowd: DataFrame, neighbours: DataFrame, mode: str = "global",
         features = features.withColumn(
             "_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return features.select(*KNN_FEATURE)
+
+
+def weighted_crowd_of_neighbours(crowd: DataFrame, neighbours: DataFrame) -> DataFrame:
+    """``dataset, dataframe, lat, lng, oLat, oLng, weightedCrowd`` of each neighbour of a
+    tower that was seen in the same frame."""
+    theirs = crowd.select(*FRAME, F.col("lat").alias("oLat"), F.col("lng").alias("oLng"),
+                          F.col("crowd").alias("oCrowd"))
+    return (crowd.join(neighbours, CELL).join(theirs, [*FRAME, "oLat", "oLng"])
+            .select(*FRAME_CELL, "oLat", "oLng",
+                    weighted_crowd("oCrowd", "haversine").alias("weightedCrowd")))

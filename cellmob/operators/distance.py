@@ -72,16 +72,18 @@ def distance_cume_dist(extents: DataFrame, by_day: bool = True) -> DataFrame:
 
 def longest_paths(extents: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` subscribers of each day with the largest extent, and all that tie."""
-    return top_k_with_ties(extents.select(*SUBSCRIBER_DAY, "haversine"), "dataset",
-                           "haversine", k, spread_by=["subscriber"])
+    return longest_ranges(extents.select(*SUBSCRIBER_DAY, "haversine"), k)
 
 
-def trails_of(events: DataFrame, subscriber_days: DataFrame,
-              weight: str | None = None) -> DataFrame:
+def longest_ranges(ranges: DataFrame, k: int = 5) -> DataFrame:
+    """The same with all columns of ``ranges`` (see ``daily_ranges``)."""
+    return top_k_with_ties(ranges, "dataset", "haversine", k, spread_by=["subscriber"])
+
+
+def trails_of(events: DataFrame, subscriber_days: DataFrame, weight: str) -> DataFrame:
     """All events of the given subscriber-days (distinct rows).
 
-    ``weight`` may name a column of ``subscriber_days`` with their number of events.
-    Sort by day, subscriber and time where the result is written.
+    ``weight`` names a column of ``subscriber_days`` with their number of events. Sort by day, subscriber and time where the result is written.
     """
     return semi_join_selective(events, subscriber_days, SUBSCRIBER_DAY,
                                ["timestamp", *CELL], weight)

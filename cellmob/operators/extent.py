@@ -1,13 +1,18 @@
 """Daily extent: the largest distance between two towers of a subscriber-day.
 
-Comparing all pairs of a day's towers is fine for the dozens an ordinary subscriber
-meets and hopeless for a gateway or an "unknown" id that meets them all. So more than a
-few towers are first reduced to those that can be an end of the largest distance: if all
-lie within a quarter of the globe, these are the corners of their convex hull on the
-sphere (a circle of less than 90 degrees is strictly convex, so the point farthest from
-any other is a corner). The corners of a union are among the corners of its parts. That
-makes the reduction a kind of partial aggregate: first in buckets of a subscriber-day,
-which spreads a large one over many tasks, then over what the buckets left.
+The few towers that an ordinary subscriber meets are compared pair by pair, in one row. A
+day with many towers (a gateway, an "unknown" id) is never gathered. Its towers become
+points on the unit sphere and fall into cubes:
+
+1. The points that lie farthest out in some fixed directions give a lower bound of the
+   extent, mostly a tight one.
+2. Pairs of cubes stay only if two points of theirs can be as far apart as this bound: by
+   the distance of the cubes, and, near half the globe, where distances hardly differ, by
+   that of one cube from the point opposite to the other.
+3. Cubes with a side of an eighth of the extent that stay are cut into such of 1/128. Then
+   the towers of the pairs that are left are compared.
+
+Any shape of day is exact, and pairs of cubes, not days, are the unit of work.
 """
 
 from __future__ import annotations
@@ -16,141 +21,129 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellmob.functions.geo import chord_sine_to_km
-from cellmob.operators.skew import SPREAD, semi_join_spread, spread_of
+from cellmob.operators.skew import spread_of
 from cellmob.schema import CELL, SUBSCRIBER_DAY
 
-# Up to this many towers are compared pair by pair without a reduction before.
+# Up to this many towers of a day are compared pair by pair in one row.
 FEW_TOWERS = 64
+# The towers of a day are gathered in this many parts first; a larger part than FEW_TOWERS
+# adds only its outermost towers to the row of the day, which thus holds at most
+# BUCKETS * FEW_TOWERS.
+BUCKETS = 64
 
-_MARGIN = 1e-12  # radians: a tower is dropped only if it is inside by more than this
-_WIDE_BLOCKS = 64
+# Sides of the cubes, in powers of two of the extent.
+_SIDES = (-3, -7)
+_XYZ = ("x", "y", "z")
+# Directions: the axes, face and space diagonals.
+_DIRECTIONS = [(a, b, c) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)
+               if (a, b, c) > (0, 0, 0)]
+# Far above the rounding of coordinates on the unit sphere, far below a millimetre.
+_SLACK = 1e-12
 
 
-# ---- expressions over an array of (lat, lng) ------------------------------------------
-# As SQL text: nested lambdas read no worse in it, and each is one call to the JVM.
-
-def _box(points: str) -> Column:
-    lat, lng = f"transform({points}, p -> p.lat)", f"transform({points}, p -> p.lng)"
-    return F.expr(f"""named_struct(
-        'south', array_min({lat}), 'north', array_max({lat}),
-        'west', array_min({lng}), 'east', array_max({lng}))""")
-
-
-def _is_compact(box: str) -> Column:
-    """Ordinary coordinates, and no two points are 90 degrees apart."""
-    return F.expr(f"""{box}.south >= -90 and {box}.north <= 90
-        and {box}.west >= -180 and {box}.east <= 180
-        and {box}.north - {box}.south + {box}.east - {box}.west < 89""")
-
-
-def _projected(points: str, box: str) -> str:
-    """Central projection around the middle of the box, sorted from left to right.
-    It maps great circles to straight lines, and so hulls to hulls."""
-    phi0 = f"radians(({box}.south + {box}.north) / 2)"
-    dlam = f"radians(p.lng - ({box}.west + {box}.east) / 2)"
-    depth = (f"(sin({phi0}) * sin(radians(p.lat))"
-             f" + cos({phi0}) * cos(radians(p.lat)) * cos({dlam}))")
-    return f"""array_sort(transform({points}, p -> named_struct(
-        'x', cos(radians(p.lat)) * sin({dlam}) / {depth},
-        'y', (cos({phi0}) * sin(radians(p.lat))
-              - sin({phi0}) * cos(radians(p.lat)) * cos({dlam})) / {depth},
-        'lat', p.lat, 'lng', p.lng)))"""
-
-
-def _boundary(ordered: str, side: int) -> str:
-    """Lower (``side`` 1) or upper (-1) boundary of points ordered from left to right.
-
-    Point by point, the end of the boundary is cut back to the last place where it
-    still turns towards the new point. Nearly straight places stay.
-    """
-    a, b = "line[i - 2]", "line[i - 1]"
-    turns = f"""{side} * ((p.x - {a}.x) * ({b}.y - {a}.y) - (p.y - {a}.y) * ({b}.x - {a}.x))
-        <= {_MARGIN}D * sqrt((p.x - {a}.x) * (p.x - {a}.x) + (p.y - {a}.y) * (p.y - {a}.y))"""
-    return f"""aggregate({ordered}, slice({ordered}, 1, 0), (line, p) -> concat(
-        if(size(line) < 2, line, slice(line, 1, coalesce(
-            array_max(filter(sequence(2, greatest(size(line), 2)), i -> {turns})), 1))),
-        array(p)))"""
-
-
-def _corners(points: str, box: str) -> Column:
-    # Once per row: the sorted points are the one element of an outer array.
-    return F.expr(f"""transform(array({_projected(points, box)}), ps -> transform(
-        array_distinct(concat({_boundary('ps', 1)}, {_boundary('ps', -1)})),
-        p -> named_struct('lat', p.lat, 'lng', p.lng)))[0]""")
+def _sine(p: str, q: str) -> str:
+    """Half the chord, for structs or aliases with lat, lng and cos."""
+    return f"""sqrt(pow(sin(radians({q}.lat - {p}.lat) / 2), 2D)
+        + pow(sin(radians({q}.lng - {p}.lng) / 2), 2D) * {p}.cos * {q}.cos)"""
 
 
 def _largest_sine(points: str) -> Column:
-    """Largest chord sine over all ordered pairs, as both directions may round apart."""
-    sine = """sqrt(pow(sin(radians(q.lat - p.lat) / 2), 2D)
-        + pow(sin(radians(q.lng - p.lng) / 2), 2D) * p.cos * q.cos)"""
+    """Largest half chord over all ordered pairs, as both directions may round apart."""
     return F.expr(f"""transform(
         array(transform({points}, p -> named_struct(
             'lat', p.lat, 'lng', p.lng, 'cos', cos(radians(p.lat))))),
         ps -> aggregate(ps, 0D, (best, p) -> greatest(best, aggregate(
-            ps, 0D, (far, q) -> greatest(far, {sine})))))[0]""")
-
+            ps, 0D, (far, q) -> greatest(far, {_sine('p', 'q')})))))[0]""")
 
-# ---- the operator ---------------------------------------------------------------------
 
-def _reduced_days(visits: DataFrame, few: int, buckets: int) -> DataFrame:
-    """``dataset, subscriber, points, box, _redo`` with points reduced where possible.
-
-    ``_redo``: buckets were reduced, but the day turns out to span too much for it.
-    """
-    point = F.struct(*CELL)
-    many = F.size("points") > few
-    parts = (visits.groupBy(*SUBSCRIBER_DAY, spread_of(CELL, buckets).alias("_bucket"))
-             .agg(F.collect_list(point).alias("points"))
-             .withColumn("box", F.when(many, _box("points")))
-             .withColumn("_cut", many & _is_compact("box"))
-             .select(*SUBSCRIBER_DAY, "box", "_cut",
-                     F.when(F.col("_cut"), _corners("points", "box"))
-                     .otherwise(F.col("points")).alias("points")))
-    days = (parts.groupBy(*SUBSCRIBER_DAY)
-            .agg(F.flatten(F.collect_list("points")).alias("points"),
-                 F.max("_cut").alias("_cut"),
-                 F.min("box.south").alias("south"), F.max("box.north").alias("north"),
-                 F.min("box.west").alias("west"), F.max("box.east").alias("east")))
-    left = _box("points")
-    box = F.struct(F.least("south", left["south"]).alias("south"),
-                   F.greatest("north", left["north"]).alias("north"),
-                   F.least("west", left["west"]).alias("west"),
-                   F.greatest("east", left["east"]).alias("east"))
-    days = days.select(*SUBSCRIBER_DAY, "points", "_cut",
-                       F.when(many | F.col("_cut"), box).alias("box"))
-    compact = _is_compact("box")
-    return days.select(
-        *SUBSCRIBER_DAY, (F.col("_cut") & ~compact).alias("_redo"),
-        F.when(many & compact, _corners("points", "box"))
-        .otherwise(F.col("points")).alias("points"))
-
-
-def _wide_days(visits: DataFrame, days: DataFrame) -> DataFrame:
-    """Large days that span more than a quarter of the globe: their towers are cut into
-    blocks, and every pair of blocks is a group, compared pair by pair."""
-    block = spread_of(CELL, _WIDE_BLOCKS)
-    pair = F.transform(F.sequence(F.lit(0), F.lit(_WIDE_BLOCKS - 1)), lambda other: F.struct(
-        F.least(block, other).alias("a"), F.greatest(block, other).alias("b")))
-    return (semi_join_spread(visits, days, SUBSCRIBER_DAY, CELL)
-            .select(*SUBSCRIBER_DAY, F.struct(*CELL).alias("point"),
-                    F.explode(pair).alias("_pair"))
-            .groupBy(*SUBSCRIBER_DAY, "_pair").agg(F.collect_list("point").alias("points"))
-            .select(*SUBSCRIBER_DAY, _largest_sine("points").alias("_sine"))
-            .groupBy(*SUBSCRIBER_DAY).agg(F.max("_sine").alias("_sine")))
+def _outermost(points: str) -> Column:
+    """Of an array of (lat, lng) those that lie farthest in each direction and against it."""
+    ends = ", ".join(
+        f"{f}(transform(ps, p -> named_struct('d', {a} * p.x + {b} * p.y + {c} * p.z, 'p', p))).p"
+        for a, b, c in _DIRECTIONS for f in ("array_min", "array_max"))
+    return F.expr(f"""transform(
+        array(transform({points}, p -> named_struct(
+            'lat', p.lat, 'lng', p.lng, 'x', cos(radians(p.lat)) * cos(radians(p.lng)),
+            'y', cos(radians(p.lat)) * sin(radians(p.lng)), 'z', sin(radians(p.lat))))),
+        ps -> transform(array_distinct(array({ends})),
+                        p -> named_struct('lat', p.lat, 'lng', p.lng)))[0]""")
+
+
+def _many(parts: DataFrame, large: DataFrame) -> DataFrame:
+    """``dataset, subscriber, events, _sine`` of days with many towers."""
+    lat, lng = F.radians("lat"), F.radians("lng")
+    xyz = {"x": F.cos(lat) * F.cos(lng), "y": F.cos(lat) * F.sin(lng), "z": F.sin(lat)}
+    bounds = (large.select(*SUBSCRIBER_DAY, "events", _outermost("points").alias("_out"))
+              .select(*SUBSCRIBER_DAY, "events", (2 * _largest_sine("_out")).alias("_low"))
+              .withColumn("_power", F.floor(F.log2(F.greatest("_low", F.lit(1e-9))))))
+    day = [*SUBSCRIBER_DAY, "events", "_low", "_power"]
+    cubes = {f"c{n}": F.struct(*(
+        F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_power") + side)).alias(c) for c in _XYZ))
+        for n, side in enumerate(_SIDES)}
+    points = (parts.select(*SUBSCRIBER_DAY, "points").join(bounds, SUBSCRIBER_DAY)
+              .select(*day, F.inline("points")).withColumns(xyz).withColumns(cubes)
+              .withColumn("p", F.struct(*CELL, F.cos(lat).alias("cos"))))
+
+    # a day has at most some hundreds of the large cubes, and their pairs fit a row
+    top = points.groupBy(*day).agg(F.collect_set("c0").alias("_cubes"))
+    pairs = _reaching(top.withColumn("a", F.explode("_cubes")).withColumn("b", F.explode("_cubes"))
+                      .drop("_cubes"), _SIDES[0])
+    finer = points.select(*SUBSCRIBER_DAY, "c0", "c1").distinct()
+    pairs = _reaching(_inside(_inside(pairs, finer, "a", "c0", "c1"), finer, "b", "c0", "c1"),
+                      _SIDES[1])
+    towers = points.select(*SUBSCRIBER_DAY, "c1", "p")
+    pairs = _inside(_inside(pairs, towers, "a", "c1", "p"), towers, "b", "c1", "p")
+    sine = F.greatest(F.expr(_sine("a", "b")), F.expr(_sine("b", "a")))
+    return pairs.groupBy(*SUBSCRIBER_DAY, "events").agg(F.max(sine).alias("_sine"))
+
+
+def _inside(pairs: DataFrame, cubes: DataFrame, side: str, outer: str, inner: str) -> DataFrame:
+    """Cubes on one side of the pairs replaced by what is inside them."""
+    finer = cubes.select(*SUBSCRIBER_DAY, F.col(outer).alias(side), F.col(inner).alias("_finer"))
+    return (pairs.join(finer, [*SUBSCRIBER_DAY, side])
+            .drop(side).withColumnRenamed("_finer", side))
+
+
+def _reaching(pairs: DataFrame, side: int) -> DataFrame:
+    """Pairs of cubes that can hold two points at least ``_low`` apart, each pair once."""
+    size = F.pow(F.lit(2.0), F.col("_power") + side)
+
+    def norm(sign: int) -> Column:
+        total = F.lit(0.0)
+        for c in _XYZ:
+            middle = (F.col("a")[c] + F.lit(0.5)) + sign * (F.col("b")[c] + F.lit(0.5))
+            total = total + middle * middle
+        return F.sqrt(total) * size
+
+    wide = F.lit(3.0 ** 0.5) * size  # two half diagonals
+    opposite = F.sqrt(F.greatest(4 - F.col("_low") * F.col("_low"), F.lit(0.0))) + 1e-6
+    return pairs.filter((F.col("a") <= F.col("b")) & (norm(-1) + wide >= F.col("_low") - _SLACK)
+                        & (norm(1) - wide <= opposite))
+
+
+def daily_ranges(events: DataFrame, few_towers: int = FEW_TOWERS,
+                 buckets: int = BUCKETS) -> DataFrame:
+    """``dataset, subscriber, haversine, events``: extent in km, rounded to two digits, and
+    the number of rows. ``events`` may be events or visits; repeated towers do not matter."""
+    parts = (events.groupBy(*SUBSCRIBER_DAY, spread_of(CELL, buckets).alias("_bucket"))
+             .agg(F.collect_set(F.struct(*CELL)).alias("points"), F.count("*").alias("_n")))
+    size = F.size("points")
+    days = (parts.groupBy(*SUBSCRIBER_DAY).agg(
+        F.sum("_n").alias("events"), F.sum(size).alias("_towers"),
+        F.flatten(F.collect_list(F.when(size <= few_towers, F.col("points"))
+                                 .otherwise(_outermost("points")))).alias("points")))
+    small = F.col("_towers") <= few_towers
+    few = days.filter(small).select(*SUBSCRIBER_DAY, "events", _largest_sine("points").alias("_sine"))
+    many = _many(parts, days.filter(~small))
+    return few.unionByName(many).select(
+        *SUBSCRIBER_DAY, F.round(chord_sine_to_km(F.col("_sine")), 2).alias("haversine"), "events")
 
 
 def daily_extent(visits: DataFrame, few_towers: int = FEW_TOWERS,
-                 buckets: int = SPREAD) -> DataFrame:
+                 buckets: int = BUCKETS) -> DataFrame:
     """``dataset, subscriber, haversine``: extent in km, rounded to two digits.
 
-    ``visits`` are distinct (see ``unique_visits``). A day with one tower has 0.0. The
-    rounding is monotone, so rounding the largest distance equals taking the largest
-    of the rounded ones.
+    ``visits`` may be events as well. A day with one tower has 0.0. The rounding is
+    monotone, so rounding the largest distance equals taking the largest of the rounded ones.
     """
-    visits = visits.select(*SUBSCRIBER_DAY, *CELL)
-    days = _reduced_days(visits, few_towers, buckets)
-    done = (days.filter(~F.coalesce("_redo", F.lit(False)))
-            .select(*SUBSCRIBER_DAY, _largest_sine("points").alias("_sine")))
-    wide = _wide_days(visits, days.filter("_redo").select(*SUBSCRIBER_DAY))
-    return done.unionByName(wide).select(
-        *SUBSCRIBER_DAY, F.round(chord_sine_to_km(F.col("_sine")), 2).alias("haversine"))
+    return daily_ranges(visits, few_towers, buckets).drop("events")

@@ -9,8 +9,9 @@ great-circle distance, and the space is cut into nested cubes of halving size. A
 2. Ask all cubes of that size which this distance reaches; there are at most 125.
 3. Rank what they hold by the rounded distance.
 
-Cubes adapt to the density, so a crowded place costs no more than an empty one, and no
-step needs a guess, a cap or a second try.
+Cubes adapt to the density down to a side of 49 m, so a crowded place costs no more than an
+empty one until towers stand that close, and no step needs a guess, a cap or a second try.
+Towers less than 5 m apart have a rounded distance of 0.00; all that tie are neighbours.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellmob.functions.geo import EARTH_RADIUS_KM, cos_degrees, haversine
-from cellmob.operators.skew import heaviest, spread_of, SPREAD
+from cellmob.operators.skew import heavy_keys, split_keys
 from cellmob.schema import CELL, NEIGHBOUR
 
 # Cube sides are 2**(level - _FINEST) earth radii: 49 m at level 0; at the top level
@@ -113,15 +114,6 @@ def nearest_cells(cells: DataFrame, k: int = 3) -> DataFrame:
 def _join_cubes(asked: DataFrame, members: DataFrame) -> DataFrame:
     """Towers with the members of the cubes they ask; crowded cubes are split."""
     held = members.select("cube", F.col("lat").alias("oLat"), F.col("lng").alias("oLng"))
-    heavy = F.broadcast(
-        heaviest(held.groupBy("cube").agg(F.count("*").alias("n")), ["cube"], "n", _HEAVY_CUBE)
-        .withColumn("_heavy", F.lit(True)))
-    held = (held.join(heavy, "cube", "left")
-            .withColumn("_spread", F.when(F.col("_heavy"), spread_of(["oLat", "oLng"]))
-                        .otherwise(F.lit(0))).drop("_heavy"))
-    everywhere = F.sequence(F.lit(0), F.lit(SPREAD - 1))
-    asked = (asked.join(heavy, "cube", "left")
-             .select(*CELL, "cube", F.explode(
-                 F.when(F.col("_heavy"), everywhere).otherwise(F.array(F.lit(0))))
-                 .alias("_spread")))
+    heavy = heavy_keys(held.groupBy("cube").agg(F.count("*").alias("n")), ["cube"], "n", _HEAVY_CUBE)
+    held, asked = split_keys(held, asked, heavy, ["cube"], ["oLat", "oLng"])
     return asked.join(held, ["cube", "_spread"])

@@ -129,9 +129,12 @@ def split_by_key(table: DataFrame, train_share: float = TRAIN_SHARE) -> tuple[Da
     Copies of a row stay on one side (a random split puts some on both and so tests on
     what was trained), and the split does not depend on how the rows are partitioned.
     """
-    mark = _key_hash(1) % 1000
-    limit = F.lit(round(train_share * 1000))
-    return table.filter(mark < limit), table.filter(mark >= limit)
+    training = is_training(train_share)
+    return table.filter(training), table.filter(~training)
+
+
+def is_training(train_share: float = TRAIN_SHARE) -> Column:
+    return _key_hash(1) % 1000 < F.lit(round(train_share * 1000))
 
 
 def fold_of() -> Column:

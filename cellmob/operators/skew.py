@@ -10,74 +10,82 @@ from pyspark.sql import functions as F
 
 # A pre-filter broadcasts at most this many hash slots, whatever the data.
 _FILTER_SLOTS = 1 << 18
-# Number of tasks the rows of one key are spread over.
+# Buckets that a top-k is taken in first: more make it ask less of each task.
 SPREAD = 64
-# Keys with fewer rows than this are left alone, and at most so many keys are split.
+# A key with more rows than a share of all rows, or than HEAVY_ROWS if that is more, is
+# split into parts of about that size. Fewer than HEAVY_SHARES keys can be so heavy, and
+# they have fewer than 2 * HEAVY_SHARES parts together, so both may be broadcast.
+HEAVY_SHARES = 10_000
 HEAVY_ROWS = 100_000
-HEAVY_KEYS = 1000
 
 
-def spread_of(columns: Sequence[str], buckets: int = SPREAD) -> Column:
+def spread_of(columns: Sequence[str], buckets: int | Column = SPREAD) -> Column:
     """A bucket from the row's own values: the same row lands in the same bucket
     when a lost task is run again, which a random salt would not promise."""
-    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
-
-
-def heaviest(keys: DataFrame, on: Sequence[str], weight: str, at_least: int) -> DataFrame:
-    """The at most :data:`HEAVY_KEYS` keys of most weight.
-
-    A key left out when more than that many qualify holds less than 1/HEAVY_KEYS of all
-    weight and needs no special care. The order is total, so that the answer is the
-    same each time it is computed.
-    """
-    return (keys.filter(F.col(weight) >= at_least)
-            .orderBy(F.col(weight).desc(), *on).limit(HEAVY_KEYS).select(*on))
+    buckets = buckets if isinstance(buckets, Column) else F.lit(buckets)
+    return F.pmod(F.xxhash64(*columns), buckets).cast("int")
+
+
+def heavy_keys(keys: DataFrame, on: Sequence[str], weight: str,
+               heavy_rows: int | None = None) -> DataFrame:
+    """The keys to split, with ``_parts``, the number of parts of each. ``keys`` is distinct
+    and ``weight`` its column with the number of rows of each key."""
+    part = F.greatest(F.lit(float(HEAVY_ROWS if heavy_rows is None else heavy_rows)),
+                      keys.agg(F.sum(weight) / F.lit(HEAVY_SHARES)).scalar())
+    return (keys.withColumn("_parts", F.ceil(F.col(weight) / part).cast("int"))
+            .filter(F.col("_parts") > 1).select(*on, "_parts"))
+
+
+def split_keys(rows: DataFrame, keys: DataFrame, heavy: DataFrame, on: Sequence[str],
+               spread_by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join with a column ``_spread`` to join on as well: a row of a heavy
+    key has one of the key's parts, and its key is repeated once per part."""
+    heavy = F.broadcast(heavy)
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
+    rows = (rows.join(heavy, [*on], "left")
+            .withColumn("_spread", F.when(parts > 1, spread_of(spread_by, parts)).otherwise(F.lit(0)))
+            .drop("_parts"))
+    keys = (keys.join(heavy, [*on], "left")
+            .withColumn("_spread", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts"))
+    return rows, keys
 
 
 def semi_join_spread(rows: DataFrame, keys: DataFrame, on: Sequence[str],
-                     spread_by: Sequence[str], weight: str | None = None,
-                     heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    """Left semi join of a big table that splits the rows of heavy keys over buckets.
+                     spread_by: Sequence[str], weight: str,
+                     heavy_rows: int | None = None) -> DataFrame:
+    """Left semi join of a big table that splits the rows of heavy keys.
 
-    ``keys`` (distinct) is repeated once per bucket where a key is split; ``rows`` never
-    is. If ``weight`` names a column of ``keys`` with the number of rows of each key,
-    only the heaviest keys are split; else all are, which suits few keys.
+    ``keys`` are distinct, and ``weight`` names their column with the number of rows.
     """
-    everywhere = F.sequence(F.lit(0), F.lit(SPREAD - 1))
-    if weight is None:
-        rows = rows.withColumn("_spread", spread_of(spread_by))
-        keys = keys.select(*on, F.explode(everywhere).alias("_spread"))
-    else:
-        heavy = F.broadcast(heaviest(keys, on, weight, heavy_rows)
-                            .withColumn("_heavy", F.lit(True)))
-        rows = (rows.join(heavy, [*on], "left")
-                .withColumn("_spread", F.when(F.col("_heavy"), spread_of(spread_by))
-                            .otherwise(F.lit(0))).drop("_heavy"))
-        keys = (keys.join(heavy, [*on], "left")
-                .select(*on, F.explode(F.when(F.col("_heavy"), everywhere)
-                                       .otherwise(F.array(F.lit(0)))).alias("_spread")))
-    columns = [c for c in rows.columns if c != "_spread"]
-    return rows.join(keys, [*on, "_spread"], "left_semi").select(*columns)
+    heavy = heavy_keys(keys, on, weight, heavy_rows)
+    split, keys = split_keys(rows, keys.select(*on), heavy, on, spread_by)
+    return split.join(keys, [*on, "_spread"], "left_semi").select(*rows.columns)
 
 
 def semi_join_selective(rows: DataFrame, keys: DataFrame, on: Sequence[str],
-                        spread_by: Sequence[str], weight: str | None = None,
-                        heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+                        spread_by: Sequence[str], weight: str,
+                        heavy_rows: int | None = None) -> DataFrame:
     """Left semi join for keys that select few of the rows.
 
     Planned blindly, the join would shuffle the whole big table before the size of
     ``keys`` is known. So rows first pass a filter on the hash slot of their key; the
-    slots are broadcast, and there are at most ``_FILTER_SLOTS`` of them (long keys,
-    a few MB in memory) however many keys there are. What passes then meets the keys
-    themselves in :func:`semi_join_spread`, which makes the result exact.
+    slots are broadcast, and there are at most ``_FILTER_SLOTS`` of them (two numbers
+    each) however many keys there are. What passes then meets the keys themselves, which
+    makes the result exact. A slot also says into how many parts its heaviest key, by
+    ``weight``, is split, and all keys of the slot are repeated so many times.
     """
     def slot():
         return F.pmod(F.xxhash64(*on), F.lit(_FILTER_SLOTS))
 
-    slots = keys.select(slot().alias("_slot")).distinct()
-    passed = (rows.withColumn("_slot", slot())
-              .join(F.broadcast(slots), "_slot", "left_semi").drop("_slot"))
-    return semi_join_spread(passed, keys, on, spread_by, weight, heavy_rows)
+    part = F.lit(float(HEAVY_ROWS if heavy_rows is None else heavy_rows))
+    slots = (keys.groupBy(slot().alias("_slot"))
+             .agg(F.max(F.ceil(F.col(weight) / part).cast("int")).alias("_parts")))
+    slots = F.broadcast(slots)
+    passed = (rows.withColumn("_slot", slot()).join(slots, "_slot")
+              .withColumn("_spread", spread_of(spread_by, F.col("_parts"))))
+    keys = (keys.select(*on, slot().alias("_slot")).join(slots, "_slot")
+            .select(*on, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_spread")))
+    return passed.join(keys, [*on, "_spread"], "left_semi").select(*rows.columns)
 
 
 def top_k_with_ties(rows: DataFrame, group: str, value: str, k: int,

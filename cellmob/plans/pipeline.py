@@ -7,16 +7,16 @@ from collections.abc import Callable, Collection
 from pyspark.sql import DataFrame
 
 from cellmob.operators.arrivals import trails_ending_within
-from cellmob.operators.crowd import cell_crowd, knn_features
+from cellmob.operators.crowd import cell_crowd, cells_of, knn_features
 from cellmob.operators.distance import (
-    distance_cume_dist, distance_metadata, distance_quantiles, longest_paths, trails_of)
+    distance_cume_dist, distance_metadata, distance_quantiles, longest_ranges, trails_of)
 from cellmob.operators.events import (
-    hour_frames, profile, reduce_events, unique_cells, unique_visits, within_radius)
-from cellmob.operators.extent import daily_extent
+    hour_frames, profile, reduce_events, unique_cells, within_radius)
+from cellmob.operators.extent import daily_ranges
 from cellmob.operators.holding import hold
 from cellmob.operators.neighbours import nearest_cells
 from cellmob.operators.predict import MODELS, FittedModel, fit_cv
-from cellmob.schema import AIRPORT, INNER_CITY, OUTER_CITY, Area
+from cellmob.schema import AIRPORT, INNER_CITY, OUTER_CITY, SUBSCRIBER_DAY, Area
 from cellmob.sources import write_csv
 
 AREAS = {"outer_city": OUTER_CITY, "inner_city": INNER_CITY, "airport": AIRPORT}
@@ -38,6 +38,7 @@ def run(raw: DataFrame, out: str, parts: Collection[str] = PARTS, area: Area | N
     if unknown:
         raise ValueError(f"unknown parts {sorted(unknown)}; there are {PARTS}")
     fitted: dict[str, FittedModel] = {}
+    order = [*SUBSCRIBER_DAY, "timestamp"]
 
     def save(df: DataFrame, name: str, *order_by: str) -> None:
         write(df, f"{out}/{name}", order_by=order_by or None, single_file=single_file)
@@ -53,25 +54,25 @@ def run(raw: DataFrame, out: str, parts: Collection[str] = PARTS, area: Area | N
             save(unique_cells(events), "cells")
 
         if "distances" in parts or "longest_paths" in parts:
-            with hold(unique_visits(events)) as visits, hold(daily_extent(visits)) as extents:
+            with hold(daily_ranges(events)) as extents:
                 if "distances" in parts:
                     save(distance_metadata(extents), "metadata", "dataset")
                     save(distance_quantiles(extents), "quantiles", "dataset", "quantile")
                     save(distance_cume_dist(extents), "cume_dist", "dataset", "haversine")
                 if "longest_paths" in parts:
-                    save(trails_of(events, longest_paths(extents, k_longest)),
-                         "longest_paths", "dataset", "subscriber", "timestamp")
+                    save(trails_of(events, longest_ranges(extents, k_longest), "events")
+                         .repartition(*order), "longest_paths", *order)
 
         if "airport" in parts:
-            save(trails_ending_within(events), "airport",
-                 "dataset", "subscriber", "timestamp")
+            # an exchange before the sort, which else reads the events once more to sample them
+            save(trails_ending_within(events).repartition(*order), "airport", *order)
 
         if "crowd" in parts or "prediction" in parts:
             with hold(cell_crowd(hour_frames(events))) as crowd:
                 if "crowd" in parts:
                     save(crowd, "crowd", "dataset", "dataframe")
                 if "prediction" in parts:
-                    neighbours = nearest_cells(unique_cells(events), k_neighbours)
+                    neighbours = nearest_cells(cells_of(crowd), k_neighbours)
                     with hold(knn_features(crowd, neighbours, lag_mode), cut=True) as table:
                         for name in models:
                             fitted[name] = fit_cv(name, table)

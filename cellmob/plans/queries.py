@@ -4,22 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from cellmob.operators.crowd import cell_crowd, knn_features
+from cellmob.operators.crowd import (
+    cell_crowd, cells_of, knn_features, weighted_crowd_of_neighbours)
 from cellmob.operators.distance import (
-    distance_cume_dist, distance_metadata, distance_quantiles, longest_paths, trails_of)
-from cellmob.operators.events import hour_frames, unique_cells, unique_visits
-from cellmob.operators.extent import daily_extent
+    distance_cume_dist, distance_metadata, distance_quantiles, longest_ranges, trails_of)
+from cellmob.operators.events import hour_frames
+from cellmob.operators.extent import daily_extent, daily_ranges
 from cellmob.operators.neighbours import nearest_cells
 from cellmob.operators.arrivals import trails_ending_within
 from cellmob.schema import AIRPORT, SUBSCRIBER_DAY, Area
 
 
 def _by_time(trails: DataFrame) -> DataFrame:
-    return trails.orderBy(*SUBSCRIBER_DAY, "timestamp")
+    # Sorting samples its input first. Behind an exchange it samples the few rows that
+    # passed; else it would read all events once more for the sample.
+    order = [*SUBSCRIBER_DAY, "timestamp"]
+    return trails.repartition(*order).orderBy(*order)
 
 
 def extents(events: DataFrame) -> DataFrame:
-    return daily_extent(unique_visits(events))
+    return daily_extent(events)
 
 
 def metadata(events: DataFrame) -> DataFrame:
@@ -37,7 +41,7 @@ def cume_dist(events: DataFrame, by_day: bool = True) -> DataFrame:
 
 
 def longest_path_trails(events: DataFrame, k: int = 5) -> DataFrame:
-    return _by_time(trails_of(events, longest_paths(extents(events), k)))
+    return _by_time(trails_of(events, longest_ranges(daily_ranges(events), k), "events"))
 
 
 def airport_trails(events: DataFrame, area: Area = AIRPORT) -> DataFrame:
@@ -55,4 +59,10 @@ def crowd_series(events: DataFrame) -> DataFrame:
 
 def crowd_features(events: DataFrame, k: int = 3, mode: str = "global",
                    dedup: bool = False) -> DataFrame:
-    return knn_features(crowd(events), nearest_cells(unique_cells(events), k), mode, dedup)
+    crowd_ = crowd(events)
+    return knn_features(crowd_, nearest_cells(cells_of(crowd_), k), mode, dedup)
+
+
+def weighted_crowds(events: DataFrame, k: int = 3) -> DataFrame:
+    crowd_ = crowd(events)
+    return weighted_crowd_of_neighbours(crowd_, nearest_cells(cells_of(crowd_), k))

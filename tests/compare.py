@@ -21,6 +21,11 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+def reference_queries(entry) -> list[str]:
+    """Names of the queries that are not those of the llm subpackage."""
+    return sorted(set(entry.queries()) - set([*entry.llm.QUERIES, "pipeline"] if entry.llm else []))
+
+
 def sorted_rows(columns, rows):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     names = [columns[i] for i in order]

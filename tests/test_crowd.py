@@ -35,23 +35,29 @@ def layouts():
 LAYOUTS = {name: (lat, lng) for name, lat, lng in layouts()}
 
 
+def pairs(df):
+    rows = [tuple(r) for r in df.select("lat", "lng", "oLat", "oLng", "haversine").collect()]
+    assert len(rows) == len(set(rows))
+    return set(rows)
+
+
 @pytest.mark.parametrize("layout", LAYOUTS)
 @pytest.mark.parametrize("k", [1, 3])
 def test_nearest_equals_all_pairs(spark, layout, k):
     df = cells(spark, *LAYOUTS[layout])
-    assert plain.rows(N.nearest_cells(df, k)) == plain.rows(plain.nearest(df, k))
+    assert pairs(N.nearest_cells(df, k)) == plain.nearest(df, k)
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 4])
 def test_nearest_of_few_towers(spark, n):
     df = cells(spark, 47 + np.arange(n) * 0.1, 19 + np.arange(n) * 0.2)
-    assert plain.rows(N.nearest_cells(df, 3)) == plain.rows(plain.nearest(df, 3))
+    assert pairs(N.nearest_cells(df, 3)) == plain.nearest(df, 3)
 
 
 def test_crowded_cubes_are_split(spark, monkeypatch):
     monkeypatch.setattr(N, "_HEAVY_CUBE", 5)
     df = cells(spark, *LAYOUTS["crowded"])
-    assert plain.rows(N.nearest_cells(df, 3)) == plain.rows(plain.nearest(df, 3))
+    assert pairs(N.nearest_cells(df, 3)) == plain.nearest(df, 3)
 
 
 def crowd_table(spark, n=400):
@@ -66,6 +72,14 @@ def test_lag_in_bands_equals_one_window(spark):
     assert plain.rows(lag_crowd(df)) == plain.rows(plain.lagged(df))
 
 
+def test_lag_in_one_city(spark):
+    """All towers inside a degree, some at the rims of bands, days and hours with few rows."""
+    rows = {("01.01" if i % 3 else "01.02", i % 5, 47.0 + i % 40 / 128, 19.0 + i // 40 * 0.01)
+            for i in range(900)} | {("01.04", 7, 47.0, 19.0)}
+    df = spark.createDataFrame([(*k, n) for n, k in enumerate(sorted(rows), 1)], CROWD).cache()
+    assert plain.rows(lag_crowd(df)) == plain.rows(plain.lagged(df))
+
+
 def test_lag_per_cell(spark):
     df = spark.createDataFrame([("01.01", 10, 47.0, 19.0, 5), ("01.01", 12, 47.0, 19.0, 7),
                                 ("01.01", 11, 47.5, 19.0, 9)], CROWD)
@@ -80,10 +94,12 @@ def test_features_equal_plain_form(spark):
     near = N.nearest_cells(unique_cells(crowd), 3).cache()
     want = plain.features(crowd, near)
     got = knn_features(crowd, near)
+    order = ["dataset", "dataframe", "lat", "lng", "crowd", "lastFrameCrowd",
+             "knnMin", "knnSum", "knnAvg", "knnClosest"]
     assert got.count() > knn_features(crowd, near, dedup=True).count()
     assert dict(got.dtypes)["knnMin"] == dict(got.dtypes)["crowd"] == "bigint"
-    assert plain.rows(got) == plain.rows(want)
-    assert plain.rows(knn_features(crowd, near, dedup=True)) == plain.rows(want.distinct())
+    assert sorted(map(tuple, got.select(order).collect())) == want
+    assert sorted(map(tuple, knn_features(crowd, near, dedup=True).select(order).collect())) == sorted(set(want))
 
 
 def test_absent_neighbour_and_farthest_as_closest(spark):

@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 import plain
 from cellmob.operators import distance as D
-from cellmob.operators.extent import daily_extent
+from cellmob.operators import extent as E
+from cellmob.operators.extent import daily_extent, daily_ranges
 
 EXTENT = "dataset string, subscriber string, haversine double"
 VISIT = "dataset string, subscriber string, lat double, lng double"
@@ -54,8 +55,51 @@ def large_days(spark):
 
 @pytest.mark.parametrize("few,buckets", [(64, 64), (16, 4), (2, 3), (299, 1), (10**6, 1)])
 def test_reduction_keeps_the_extent(large_days, few, buckets):
-    got = daily_extent(large_days, few_towers=few, buckets=buckets)
-    assert plain.rows(got) == plain.rows(plain.extent(large_days))
+    got = daily_extent(large_days, few_towers=few, buckets=buckets).collect()
+    want = plain.extent(large_days)
+    assert {(r.dataset, r.subscriber): r.haversine for r in got} == want and len(got) == len(want)
+
+
+def very_large(n):
+    t = np.arange(n) * np.pi / n
+    return {
+        "globe": np.c_[np.degrees(np.arcsin(rng.random(n) * 2 - 1)), rng.random(n) * 360 - 180],
+        "arc": np.c_[47 + 0.2 * np.sin(t), 19 + 0.3 * np.cos(t)],
+        "ring": np.c_[47 + 0.2 * np.sin(2 * t), 19 + 0.3 * np.cos(2 * t)],
+        "city_and_one": np.r_[47 + rng.normal(size=(n - 1, 2)) * 0.05, [[-40.0, 170.0]]],
+        "two_cities": np.r_[47 + rng.normal(size=(n // 2, 2)) * 0.05, [60, 10] + rng.normal(size=(n // 2, 2)) * 0.05],
+    }
+
+
+def test_very_large_days_of_any_shape(spark):
+    days = {name: np.unique(x, axis=0) for name, x in very_large(20_000).items()}
+    df = spark.createDataFrame([("01.01", name, float(a), float(b)) for name, x in days.items() for a, b in x], VISIT)
+    got = daily_ranges(df)
+    assert {r.subscriber: (r.haversine, r.events) for r in got.collect()} == {
+        name: (plain.farthest(x), len(x)) for name, x in days.items()}
+
+
+def test_a_row_of_a_large_day_stays_small(spark, monkeypatch):
+    x = very_large(20_000)["globe"]
+    df = spark.createDataFrame([("01.01", "a", float(a), float(b)) for a, b in x], VISIT)
+    held = {}
+
+    def many(parts, large):
+        held.update(parts=parts, large=large)
+        return real(parts, large)
+
+    real = E._many
+    monkeypatch.setattr(E, "_many", many)
+    daily_ranges(df)
+    size = F.max(F.size("points"))
+    assert held["large"].agg(size).first()[0] <= E.BUCKETS * E.FEW_TOWERS
+    assert held["parts"].agg(size).first()[0] <= 2 * 20_000 / E.BUCKETS
+
+
+def test_weights_for_trails_are_event_counts(spark):
+    rows = [("01.01", "a", 47.0, 19.0)] * 5 + [("01.01", "b", 47.0 + i % 90 * 0.01, 19.0) for i in range(300)]
+    got = {r.subscriber: r.events for r in daily_ranges(spark.createDataFrame(rows, VISIT)).collect()}
+    assert got == {"a": 5, "b": 300}
 
 
 def test_extent_is_no_path_length(spark):
