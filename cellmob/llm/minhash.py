@@ -335,12 +335,14 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
         F.min("doc_id").alias("rep"), F.first("minhash").alias("minhash")), "classes")
 
     keys = bucket_keys(classes, like)
-    several = keys.groupBy("bucket").agg(
-        F.count("*").alias("size"), F.min("rep").alias("_low")).where("size > 1")
+    # totals are written apart, so that joins with them shuffle both sides, and Spark can
+    # split a hot bucket
+    several = written(keys.groupBy("bucket").agg(
+        F.count("*").alias("size"), F.min("rep").alias("_low")).where("size > 1"), "several")
     members = written(keys.join(several, "bucket"), "members")
     meets = members.groupBy("rep").agg(F.sum("size").alias("_meets"))
-    most = (members.where("size > 2").join(meets, "rep").groupBy("bucket").agg(
-        F.max(F.struct("_meets", (-F.col("rep")).alias("_minus"))).alias("_top")))
+    most = written(members.where("size > 2").join(meets, "rep").groupBy("bucket").agg(
+        F.max(F.struct("_meets", (-F.col("rep")).alias("_minus"))).alias("_top")), "most")
     stars = members.select("rep", F.col("_low").alias("_star")).unionByName(
         members.join(most, "bucket").select("rep", (-F.col("_top._minus")).alias("_star")))
     pairs = (stars.where("rep <> _star").select(
@@ -350,8 +352,9 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     placed = (members.where("size > 2").join(clusters, "rep", "left")
               .withColumn("component", F.coalesce("component", "rep")))
-    open_ = (placed.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b"))
-             .where("_a < _b").select("bucket"))
+    open_ = written(placed.groupBy("bucket").agg(
+        F.min("component").alias("_a"), F.max("component").alias("_b"))
+        .where("_a < _b").select("bucket"), "open")
     left = written(placed.join(open_, "bucket").select("bucket", "rep", "size", "component"), "open")
     more = written(_across(left, classes, like), "across")
     if not more.isEmpty():

@@ -13,8 +13,9 @@ of text which all windows of that anchor cover.
 3. The stretches that are left, those at the edges of repeated passages, are fetched from
    the texts. All that share a gram meet in one task, which compares their windows; see
    ``classes``. A gram with more than ``CROWDED`` different stretches (a passage which occurs
-   in very many surroundings) is not gathered: its windows are hashed and counted by an
-   aggregation, which combines them before the shuffle.
+   in very many surroundings) is not gathered: blocks of its windows are hashed and counted
+   by an aggregation, which combines them before the shuffle, and only the blocks in which
+   a repeat begins or ends are cut into smaller ones; see ``_counted``.
 
 Equal 64-bit hashes of gram and stretch, taken together, count as equal texts in 2, two
 64-bit hashes do for crowded grams, and step 3 compares the symbols themselves.
@@ -34,6 +35,7 @@ from cellmob.llm.arrow import arrow_schema, bytes_of, map_batches
 from cellmob.llm.scratch import written
 
 CROWDED = 512
+BLOCKS = (16, 4, 1)  # windows of the blocks that crowded grams are cut into
 _BATCH = 1 << 18  # symbols hashed at once; a longer text is cut into overlapping segments
 _SEGMENT = 1 << 20
 _FRAGMENTS = 3000  # compared at once
@@ -310,12 +312,13 @@ _SPAN = "doc long, first long, last long"
 def _decided(docs: DataFrame, unit: Unit) -> DataFrame:
     """Anchors whose stretch repeats as a whole (``whole``) or is to be compared (``rest``)."""
     found = anchors(docs, unit)
-    several = found.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h")
+    # written apart, so that the join shuffles both sides, and Spark can split a hot key
+    several = written(found.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h"), "grams")
     found = written(found.join(several, "h"), "anchors")
 
     stretches = written(found.groupBy("h", "stretch").agg(
         F.count("*").alias("_copies"), F.min("doc").alias("_least")), "stretches")
-    grams = stretches.groupBy("h").agg(F.count("*").alias("_different"))
+    grams = written(stretches.groupBy("h").agg(F.count("*").alias("_different")), "grams")
     stretches = stretches.join(grams, "h")
     if unit.earlier:
         whole, stands = F.col("doc") > F.col("_least"), F.col("doc") == F.col("_least")
@@ -388,29 +391,73 @@ def _by_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _counted(fragments: DataFrame, unit: Unit) -> DataFrame:
-    """Spans of repeated windows of crowded grams, by counting hashes of windows."""
+_BLOCK = ("i1 long, i2 long, o1 long, o2 long, h long, doc long, at long, first long, last long")
+
+
+def _blocks(fragments: DataFrame, unit: Unit, size: int) -> DataFrame:
+    """The windows in ``ranges`` of each fragment, in blocks of ``size``: hashes of what all
+    windows of such a block have in common (i1, i2), and of all that they cover (o1, o2)."""
     powers = Powers()
 
-    def windows(batch: pa.RecordBatch) -> Iterator[dict]:
-        for i in range(batch.num_rows):
-            h, doc, at, first, last, _, content = (c[i].as_py() for c in batch.columns)
+    def cut(batch: pa.RecordBatch) -> Iterator[dict]:
+        for h, doc, at, start, content, ranges in zip(*(c.to_pylist() for c in batch.columns)):
             symbols = np.frombuffer(content, np.uint64) if unit.words else _BYTE[
                 np.frombuffer(content, np.uint8)]
-            place = np.arange(last - first + 1)
-            one = Rolling(symbols, powers).part(place, place + unit.window)
-            two = Rolling(mixed(symbols + _U(1)), powers).part(place, place + unit.window)
-            yield {"one": mixed(one).view(np.int64), "two": mixed(two).view(np.int64),
-                   "doc": np.full(len(place), doc), "first": first + place}
-
-    found = map_batches(fragments, windows, "one long, two long, doc long, first long")
-    total = found.groupBy("one", "two").agg(F.count("*").alias("_n"), F.min("doc").alias("_least"),
-                                            F.max("doc").alias("_most"))
-    several = total.where("_most > _least" if unit.earlier else "_n > 1")
-    hit = found.join(several, ["one", "two"])
-    if unit.earlier:
-        hit = hit.where("doc > _least")
-    return hit.select("doc", "first", F.col("first").alias("last"))
+            # blocks by the distance from window to gram, the same in all texts
+            window = np.concatenate([np.arange(r["first"], r["last"] + 1) for r in ranges])
+            block = (at - window) // size
+            edge = np.flatnonzero((block[1:] != block[:-1]) | (window[1:] != window[:-1] + 1))
+            first = window[np.concatenate([[0], edge + 1])]
+            last = window[np.concatenate([edge, [len(window) - 1]])]
+            near = (at - last) // size * size
+            inner = at - near - start, at - near - size + 1 + unit.window - start
+            outer = first - start, last + unit.window - start
+            shape = [mixed(((at - x).astype(np.uint64) << _U(20)) + (at - y).astype(np.uint64))
+                     for x, y in ((at - near, at - near), (first, last))]
+            out = {"h": np.full(len(first), h), "doc": np.full(len(first), doc),
+                   "at": np.full(len(first), at), "first": first, "last": last}
+            for n, values in ((1, symbols), (2, mixed(symbols + _U(1)))):
+                rolling = Rolling(values, powers)
+                for name, (x, y), kind in (("i", inner, shape[0]), ("o", outer, shape[1])):
+                    out[f"{name}{n}"] = mixed(rolling.part(x, y) + kind).view(np.int64)
+            yield out
+
+    rows = fragments.select("h", "doc", "at", F.col("first").alias("start"), "content", "ranges")
+    return written(map_batches(rows, cut, _BLOCK), "blocks")
+
+
+def _counted(fragments: DataFrame, unit: Unit) -> DataFrame:
+    """Spans of repeated windows of crowded grams, by counting hashes of blocks of windows.
+
+    If all that a block covers repeats, so do all its windows; if what they have in common
+    does not, none does; the blocks between are cut into smaller ones, down to one window.
+    Of blocks that are equal one goes on with them, since others may share a part of it.
+    """
+    least, most = F.min("doc").alias("_least"), F.max("doc").alias("_most")
+    several = "_most > _least" if unit.earlier else "_n > 1"
+    repeats = F.col("doc") > F.col("_least") if unit.earlier else F.col("_n") > 1
+    spans = None
+    fragments = fragments.withColumn("ranges", F.array(F.struct("first", "last")))
+    # what a block's windows have in common must hold the gram
+    for size in (b for b in BLOCKS if b <= unit.window - unit.gram + 1):
+        blocks = _blocks(fragments, unit, size)
+        common = (blocks.groupBy("i1", "i2").agg(
+            F.count("*").alias("_n"), least, most, (F.min("o1") < F.max("o1")).alias("_differ"))
+            .where(several).select("i1", "i2", "_differ"))
+        covered = blocks.groupBy("o1", "o2").agg(F.count("*").alias("_n"), least, most).where("_n > 1")
+        some = written(
+            blocks.join(common, ["i1", "i2"]).join(covered, ["o1", "o2"], "left")
+            .withColumn("_whole", F.coalesce(repeats, F.lit(False)))
+            .withColumn("_open", F.col("_differ") & F.coalesce(F.col("doc") == F.col("_least"), F.lit(True)))
+            .select("h", "doc", "at", "first", "last", "_whole", "_open"), "blocks")
+        found = some.where("_whole").select("doc", "first", "last")
+        spans = found if spans is None else spans.unionByName(found)
+        if size > 1:
+            open_ = some.where("_open").groupBy("h", "doc", "at").agg(
+                F.collect_set(F.struct("first", "last")).alias("ranges"))
+            fragments = fragments.drop("ranges").join(open_, ["h", "doc", "at"]).withColumn(
+                "ranges", F.array_sort("ranges"))
+    return spans
 
 
 def repeated_spans(docs: DataFrame, unit: Unit) -> DataFrame:
