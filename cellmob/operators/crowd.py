@@ -15,14 +15,19 @@ _BANDS = 64
 
 
 def cell_crowd(frames: DataFrame) -> DataFrame:
-    """Number of events (not of subscribers) per day, hour and tower."""
-    return frames.groupBy(*FRAME_CELL).agg(F.count("*").alias("crowd"))
+    """Number of events (not of subscribers) per day, hour and tower; a row without
+    coordinates has no tower."""
+    # Coalesced, the keys are known not to be null: joins then add no null checks to some
+    # uses of the table. The filter is always true, and for it the count stays in all uses.
+    # So these share the scan and the shuffle.
+    known = frames.filter(F.col("lat").isNotNull() & F.col("lng").isNotNull())
+    known = known.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in CELL})
+    return known.groupBy(*FRAME_CELL).agg(F.count("*").alias("crowd")).filter("crowd > 0")
 
 
 def cells_of(crowd: DataFrame) -> DataFrame:
-    """Distinct towers of a crowd table. The crowd is kept until after the shuffle, so that
-    this and other uses of the table share it."""
-    return crowd.groupBy(*CELL).agg(F.max("crowd").alias("_crowd")).select(*CELL)
+    """Distinct towers of a crowd table."""
+    return crowd.select(*CELL).distinct()
 
 
 def lag_crowd(crowd: DataFrame, mode: str = "global") -> DataFrame:
@@ -44,9 +49,10 @@ def lag_crowd(crowd: DataFrame, mode: str = "global") -> DataFrame:
     # 24 * 183 * _BANDS of them, and only the first band of a day looks at the day before:
     # one task sees a row per day.
     keys = [*FRAME, "_band"]
-    banded = crowd.withColumn("_band", F.floor(F.least(F.greatest(
-        F.col("lat"), F.lit(-91.0)), F.lit(91.0)) * _BANDS).cast("int"))
-    ends = banded.groupBy(*keys).agg(F.max_by("crowd", F.struct(*CELL)).alias("_last"))
+    band = F.floor(F.least(F.greatest(F.col("lat"), F.lit(-91.0)), F.lit(91.0)) * _BANDS)
+    banded = crowd.withColumn("_band", F.coalesce(band.cast("int"), F.lit(0)))
+    ends = (banded.groupBy(*keys).agg(F.max_by("crowd", F.struct(*CELL)).alias("_last"))
+            .filter(F.col("_last").isNotNull()))  # kept in all uses, as in cell_crowd
     days = (ends.groupBy("dataset").agg(
         F.max_by("_last", F.struct("dataframe", "_band")).alias("_end"))
         .withColumn("_day_before", F.lag("_end", 1, 0).over(W.orderBy("dataset"))).drop("_end"))

@@ -126,12 +126,16 @@ def daily_ranges(events: DataFrame, few_towers: int = FEW_TOWERS,
     """``dataset, subscriber, haversine, events``: extent in km, rounded to two digits, and
     the number of rows. ``events`` may be events or visits; repeated towers do not matter."""
     parts = (events.groupBy(*SUBSCRIBER_DAY, spread_of(CELL, buckets).alias("_bucket"))
-             .agg(F.collect_set(F.struct(*CELL)).alias("points"), F.count("*").alias("_n")))
+             .agg(F.collect_set(F.struct(*CELL)).alias("points"), F.count("*").alias("_n"))
+             # always true: the counts stay in all uses of both tables, which thus are alike
+             # up to their shuffles, and events are read once
+             .filter("_n > 0"))
     size = F.size("points")
     days = (parts.groupBy(*SUBSCRIBER_DAY).agg(
         F.sum("_n").alias("events"), F.sum(size).alias("_towers"),
         F.flatten(F.collect_list(F.when(size <= few_towers, F.col("points"))
-                                 .otherwise(_outermost("points")))).alias("points")))
+                                 .otherwise(_outermost("points")))).alias("points"))
+        .filter("events > 0"))
     small = F.col("_towers") <= few_towers
     few = days.filter(small).select(*SUBSCRIBER_DAY, "events", _largest_sine("points").alias("_sine"))
     many = _many(parts, days.filter(~small))
