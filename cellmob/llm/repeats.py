@@ -441,10 +441,11 @@ def _counted(fragments: DataFrame, unit: Unit) -> DataFrame:
     # what a block's windows have in common must hold the gram
     for size in (b for b in BLOCKS if b <= unit.window - unit.gram + 1):
         blocks = _blocks(fragments, unit, size)
-        common = (blocks.groupBy("i1", "i2").agg(
+        common = written(blocks.groupBy("i1", "i2").agg(
             F.count("*").alias("_n"), least, most, (F.min("o1") < F.max("o1")).alias("_differ"))
-            .where(several).select("i1", "i2", "_differ"))
-        covered = blocks.groupBy("o1", "o2").agg(F.count("*").alias("_n"), least, most).where("_n > 1")
+            .where(several).select("i1", "i2", "_differ"), "common")
+        covered = written(blocks.groupBy("o1", "o2").agg(
+            F.count("*").alias("_n"), least, most).where("_n > 1"), "covered")
         some = written(
             blocks.join(common, ["i1", "i2"]).join(covered, ["o1", "o2"], "left")
             .withColumn("_whole", F.coalesce(repeats, F.lit(False)))

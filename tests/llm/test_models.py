@@ -46,12 +46,13 @@ def auc(score, label):
 
 
 def test_quality_of_held_out_documents(spark):
-    got = {r.doc_id: r for r in quality.op3(spark, SF_DIR).collect()}
-    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet").collect()
+    # some hundred bad texts to learn from; the smaller tables have too few to judge by
+    got = {r.doc_id: r for r in quality.op3(spark, "/root/testdata/sf0.1").collect()}
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()
     held = [x for x in labels if zlib.crc32(str(x.doc_id).encode()) % 5 == 0]
     assert {x.doc_id for x in held} <= {i for i, r in got.items() if r.held_out}
     assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in got.values())
-    assert auc(np.array([got[x.doc_id].score for x in held]), np.array([x.quality for x in held])) > 0.95
+    assert auc(np.array([got[x.doc_id].score for x in held]), np.array([x.quality for x in held])) > 0.98
 
 
 def test_quality_of_odd_texts(spark, frame):
