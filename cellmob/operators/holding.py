@@ -16,20 +16,31 @@ def shared_folder(spark: SparkSession) -> str | None:
             or spark.sparkContext.getCheckpointDir())
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(conf).delete(where, True)
+
+
 @contextmanager
 def hold(df: DataFrame, cut: bool = False) -> Iterator[DataFrame]:
     """Keep ``df`` for the block: in memory, spilling to disk, computed once.
 
-    With ``cut`` and a shared folder (``spark.checkpoint.dir``), the table is written
-    there as Parquet instead. Later uses read only the columns they need, and an executor
-    lost in a long run costs a read, not a recomputation from the events. Like Spark's own
-    checkpoints, the files are left to whoever clears that folder.
+    With ``cut`` and a shared folder (``spark.checkpoint.dir``, which the cluster vouches
+    for), the table is written there as Parquet instead. Later uses read only the columns
+    they need, and an executor lost in a long run costs a read, not a recomputation from the
+    events. The files go with the block, whatever ends it; nothing that is read after it
+    may depend on the table.
     """
-    folder = shared_folder(df.sparkSession) if cut else None
+    spark = df.sparkSession
+    folder = shared_folder(spark) if cut else None
     if folder:
         path = f"{folder}/held-{uuid4().hex}"
-        df.write.parquet(path)
-        yield df.sparkSession.read.schema(df.schema).parquet(path)
+        try:
+            df.write.parquet(path)
+            yield spark.read.schema(df.schema).parquet(path)
+        finally:
+            _delete(spark, path)
         return
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:

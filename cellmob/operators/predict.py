@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -13,7 +16,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionE
 from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GeneralizedLinearRegression, LinearRegression)
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +56,7 @@ MODELS = {m.name: m for m in [
               {"regParam": [0.01, 0.1], "elasticNetParam": [0.0, 0.5, 0.8, 1.0]}),
     ModelSpec("poisson_regression", "crowd", "rmse", GeneralizedLinearRegression,
               {"regParam": [0.01, 0.1]}),
+    # refuses negative features, so keep coordinates positive (see reduce_events)
     ModelSpec("naive_bayes", "crowdIndex", "accuracy", NaiveBayes),
     ModelSpec("decision_tree_classifier", "crowdIndex", "accuracy", DecisionTreeClassifier,
               {"maxDepth": [5, 10], "minInstancesPerNode": [1, 2, 4], "impurity": ["gini"]},
@@ -79,6 +83,10 @@ class FittedModel:
         return evaluate(self.predictions, self.spec.label).select(
             F.lit(self.spec.name).alias("model"), "metric", "value")
 
+    @property
+    def has_residuals(self) -> bool:
+        return self.spec.estimator in (LinearRegression, GeneralizedLinearRegression)
+
     def residuals(self) -> DataFrame:
         """Residuals of the training rows, for the two models that report them."""
         residuals = self.model.summary.residuals
@@ -101,7 +109,8 @@ def day_indexer() -> StringIndexer:
 
 
 def crowd_indexer(features: DataFrame) -> StringIndexerModel:
-    """Crowd count to class index, most frequent first; fitted on the whole table."""
+    """Crowd count to class index, most frequent first; fitted on the whole table. All
+    distinct counts become labels of the model, so where they are many, bin them before."""
     return StringIndexer(inputCol="crowd", outputCol="crowdIndex").fit(features)
 
 
@@ -156,26 +165,55 @@ def _evaluator(spec: ModelSpec):
 
 
 def _evenly(table: DataFrame) -> DataFrame:
-    """One partition per core: every iteration of every fit then uses all of them,
-    where a table that came out of a shuffle may sit in a few large partitions."""
-    cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores, *FRAME_CELL)
+    """At least one partition per core, and as many as a shuffle has: every iteration of
+    every fit then uses all cores, where a table that came out of a shuffle may sit in a few
+    large partitions. The cores known at the start may be few when executors come later."""
+    spark = table.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism,
+                int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return table.repartition(parts, *FRAME_CELL)
 
 
-def fit_cv(name: str, table: DataFrame, features: Sequence[str] = FEATURES,
-           split: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = split_by_key,
-           parallelism: int = 4) -> FittedModel:
-    """Fit one of :data:`MODELS`: split, search its grid over four folds, refit the best.
+@dataclass
+class Prepared:
+    """What all models are fitted from: the key, ``crowd, crowdIndex, features, fold,
+    training`` of each row, and the fitted stages that made the features."""
+
+    rows: DataFrame
+    stages: list
+
+    @property
+    def training(self) -> DataFrame:
+        return self.rows.filter("training")
+
+    @property
+    def test(self) -> DataFrame:
+        return self.rows.filter("not training")
+
 
-    Eager, and reads ``table`` several times: pass a held one (see ``hold``). Days are
-    indexed and vectors assembled once for all fits, and held during the search.
+@contextmanager
+def prepared(table: DataFrame, features: Sequence[str] = FEATURES,
+             split: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = split_by_key
+             ) -> Iterator[Prepared]:
+    """Split, index and assemble once for any number of fits; held for the block.
+
+    Eager, and reads ``table`` several times: pass a held one (see ``hold``).
     """
-    spec = MODELS[name]
-    if spec.label == "crowdIndex":
-        table = crowd_indexer(table).transform(table)
-    train, test = split(table)
+    train, test = split(crowd_indexer(table).transform(table))
     preparation = Pipeline(stages=[day_indexer(), assembler(features)]).fit(train)
-
+    marked = train.withColumn("training", F.lit(True)).unionByName(
+        test.withColumn("training", F.lit(False)))
+    # folds by hash, for the reasons of split_by_key
+    rows = preparation.transform(marked.withColumn("fold", fold_of())).select(
+        *FRAME_CELL, "crowd", "crowdIndex", "features", "fold", "training")
+    with hold(_evenly(rows)) as held:
+        yield Prepared(held, preparation.stages)
+
+
+def fit(name: str, table: Prepared, parallelism: int = 8) -> FittedModel:
+    """Fit one of :data:`MODELS`: search its grid over four folds, refit the best. The
+    predictions of the result can be read while ``table`` is held."""
+    spec = MODELS[name]
     settings = {"featuresCol": "features", "labelCol": spec.label}
     if spec.estimator in (LogisticRegression, LinearRegression, GeneralizedLinearRegression):
         settings["maxIter"] = MAX_ITER
@@ -183,7 +221,7 @@ def fit_cv(name: str, table: DataFrame, features: Sequence[str] = FEATURES,
         settings["family"] = "poisson"
     if spec.is_tree:
         # The day is nominal: it needs a bin per value, one of them for unknown days.
-        days = len(preparation.stages[0].labels)
+        days = len(table.stages[0].labels)
         settings.update(seed=SEED, maxBins=max(32, days + 1))
     estimator = spec.estimator(**settings)
 
@@ -191,18 +229,65 @@ def fit_cv(name: str, table: DataFrame, features: Sequence[str] = FEATURES,
     for param, values in spec.grid.items():
         grid = grid.addGrid(getattr(estimator, param), values)
     grid = grid.build()
-
-    # Folds by hash, for the reasons of split_by_key.
-    folded = _evenly(preparation.transform(train.withColumn("fold", fold_of()))
-                     .select(*FRAME_CELL, spec.label, "features", "fold"))
-    with hold(folded) as rows:
-        cv = CrossValidator(
-            estimator=estimator, evaluator=_evaluator(spec), estimatorParamMaps=grid,
-            numFolds=FOLDS, seed=SEED, foldCol="fold", parallelism=parallelism).fit(rows)
-    best = PipelineModel([*preparation.stages, cv.bestModel])
+    evaluator = _evaluator(spec)
+
+    def score(task: tuple[int, int]) -> float:
+        point, fold = task
+        rest, held_out = (table.training.filter(F.col("fold") != fold),
+                          table.training.filter(F.col("fold") == fold))
+        return evaluator.evaluate(estimator.fit(rest, grid[point]).transform(held_out))
+
+    with ThreadPool(parallelism) as pool:  # the fits are Spark jobs; threads only wait
+        found = pool.map(inheritable_thread_target(table.rows.sparkSession)(score), [
+            (point, fold) for point in range(len(grid)) for fold in range(FOLDS)], chunksize=1)
+    scores = [sum(found[i:i + FOLDS]) / FOLDS for i in range(0, len(found), FOLDS)]
+    choose = max if evaluator.isLargerBetter() else min
+    best = estimator.fit(table.training, grid[scores.index(choose(scores))])
     return FittedModel(
-        spec, best, [{p.name: v for p, v in point.items()} for point in grid],
-        list(cv.avgMetrics), best.transform(test))
+        spec, PipelineModel([*table.stages, best]),
+        [{p.name: v for p, v in point.items()} for point in grid], scores,
+        best.transform(table.test))
+
+
+def fit_cv(name: str, table: DataFrame, features: Sequence[str] = FEATURES,
+           split: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = split_by_key,
+           parallelism: int = 8) -> FittedModel:
+    """Prepare ``table`` and fit one model; its predictions are those of the test rows of
+    ``table``, which they depend on."""
+    with prepared(table, features, split) as rows:
+        fitted = fit(name, rows, parallelism)
+    _, test = split(crowd_indexer(table).transform(table))
+    fitted.predictions = fitted.pipeline.transform(test)
+    return fitted
+
+
+def checks(fitted: FittedModel, table: Prepared) -> DataFrame:
+    """``model, metric, value``: the size of the problem, and whether the model holds what
+    any good fit must.
+
+    ``constant_error`` is what the best constant prediction leaves of the training rows:
+    the root mean square for counts, the share of wrong rows for classes. ``no_worse`` is 1
+    if the model leaves no more. ``unbiased`` is 1 if its errors cancel, which follows from
+    the intercept, and from the means in the leaves of a tree.
+    """
+    spec, label = fitted.spec, F.col(fitted.spec.label).cast("double")
+    classes = spec.label == "crowdIndex"
+    rows = fitted.model.transform(table.training).select(label.alias("l"), "prediction")
+    error = F.col("prediction") - F.col("l")
+    n, mean, spread, wrong, rmse, bias = rows.agg(
+        F.count("*"), F.avg("l"), F.stddev_pop("l"), F.avg((error != 0).cast("int")),
+        F.sqrt(F.avg(error * error)), F.avg(error)).first()
+    if classes:
+        most = rows.groupBy("l").count().agg(F.max("count")).first()[0]
+        constant, left = 1 - most / n, wrong
+    else:
+        constant, left = spread, rmse
+    out = {"training_rows": n, "test_rows": table.test.count(), "label_mean": round(mean, 6),
+           "constant_error": round(constant, 6), "no_worse": left <= constant + 1e-9}
+    if not classes:
+        out["unbiased"] = abs(bias) <= 1e-3 * max(1.0, abs(mean))
+    return table.rows.sparkSession.createDataFrame(
+        [(spec.name, k, float(v)) for k, v in out.items()], "model string, metric string, value double")
 
 
 def _details(fitted: FittedModel) -> dict[str, Sequence[float]]:

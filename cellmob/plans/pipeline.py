@@ -15,7 +15,7 @@ from cellmob.operators.events import (
 from cellmob.operators.extent import daily_ranges
 from cellmob.operators.holding import hold
 from cellmob.operators.neighbours import nearest_cells
-from cellmob.operators.predict import MODELS, FittedModel, fit_cv
+from cellmob.operators.predict import MODELS, FittedModel, fit, prepared
 from cellmob.schema import AIRPORT, INNER_CITY, OUTER_CITY, SUBSCRIBER_DAY, Area
 from cellmob.sources import write_csv
 
@@ -32,7 +32,8 @@ def run(raw: DataFrame, out: str, parts: Collection[str] = PARTS, area: Area | N
 
     Tables that several answers need are computed once and held. ``area`` restricts
     everything but the profile of the raw events to a circle. Results are sorted as far
-    as a report needs it. Returns the fitted models.
+    as a report needs it. Returns the fitted models; their predictions were of the held
+    table and cannot be read any more, apply ``pipeline`` to a table instead.
     """
     unknown = set(parts) - set(PARTS)
     if unknown:
@@ -73,8 +74,12 @@ def run(raw: DataFrame, out: str, parts: Collection[str] = PARTS, area: Area | N
                     save(crowd, "crowd", "dataset", "dataframe")
                 if "prediction" in parts:
                     neighbours = nearest_cells(cells_of(crowd), k_neighbours)
-                    with hold(knn_features(crowd, neighbours, lag_mode), cut=True) as table:
+                    features = knn_features(crowd, neighbours, lag_mode)
+                    with hold(features, cut=True) as table, prepared(table) as rows:
                         for name in models:
-                            fitted[name] = fit_cv(name, table)
-                            save(fitted[name].metrics(), f"prediction/{name}")
+                            fitted[name] = model = fit(name, rows)
+                            save(model.metrics(), f"prediction/{name}")
+                            save(model.details(raw.sparkSession), f"prediction_details/{name}")
+                            if model.has_residuals:
+                                save(model.residuals(), f"prediction_residuals/{name}")
     return fitted

@@ -88,6 +88,41 @@ _TABLES = {
           select l, count(*) as support, count(*) filter (where p = l) as hits
           from guessed group by l)
         left join (select p, count(*) as predicted from guessed group by p) on p = l""",
+    "crowd_classes": """
+        select crowd, cast(row_number() over (order by count(*) desc, cast(crowd as varchar)) - 1
+          as double) as crowdIndex from features group by crowd""",
+    "indexed": """
+        select h.*, c.crowdIndex, ('0x' || substr(digest, 1, 8))::bigint % 1000 < 700 as training
+        from hashed h join crowd_classes c using (crowd)""",
+    "training_days": """
+        select dataset, row_number() over (order by count(*) desc, dataset) - 1 as i
+        from indexed where training group by dataset""",
+    "vectors": """
+        select row_number() over () as r, training, crowdIndex,
+          [coalesce(d.i, (select count(*) from training_days)), dataframe, lat, lng,
+           lastFrameCrowd, knnMin, knnSum, knnAvg, knnClosest]::double[] as x
+        from indexed left join training_days d using (dataset)""",
+    "sums": """
+        select crowdIndex, count(*) as n, [sum(x[1]), sum(x[2]), sum(x[3]), sum(x[4]), sum(x[5]),
+          sum(x[6]), sum(x[7]), sum(x[8]), sum(x[9])] as s
+        from vectors where training group by crowdIndex""",
+    # logarithms of smoothed shares; classes are numbered as far as they occur in training
+    "bayes": """
+        select row_number() over (order by crowdIndex) - 1 as c,
+          ln(n + 1) - ln(sum(n) over () + count(*) over ()) as prior,
+          list_transform(s, lambda v: ln(v + 1) - ln(list_sum(s) + 9)) as theta from sums""",
+    "bayes_scores": """
+        select r, crowdIndex, c, prior + list_dot_product(x, theta) as score
+        from vectors cross join bayes where not training""",
+    "bayes_guessed": """
+        select crowdIndex as l, c::double as p from (
+          select *, row_number() over (partition by r order by score desc, c) as place
+          from bayes_scores) where place = 1""",
+    "bayes_classes": """
+        select l, support, hits, coalesce(predicted, 0) as predicted from (
+          select l, count(*) as support, count(*) filter (where p = l) as hits
+          from bayes_guessed group by l)
+        left join (select p, count(*) as predicted from bayes_guessed group by p) on p = l""",
 }
 
 
@@ -148,6 +183,37 @@ def _trails(days: str) -> str:
         semi join ({days}) d on r.dataset = d.dataset and r.subscriber = d.subscriber"""
 
 
+def _metrics(guessed: str, classes: str) -> str:
+    return f"""select 'rmse' as metric, sqrt(avg((p - l) * (p - l))) as value from {guessed}
+        union all select 'mae', avg(abs(p - l)) from {guessed}
+        union all select 'r2', 1 - sum((p - l) * (p - l))
+                  / (sum(l * l) - count(*) * avg(l) * avg(l)) from {guessed}
+        union all select 'accuracy', avg((p = l)::int::double) from {guessed}
+        union all select 'weightedPrecision',
+            sum(support * coalesce(hits / nullif(predicted, 0), 0)) / sum(support) from {classes}
+        union all select 'f1',
+            sum(support * coalesce(2.0 * hits / nullif(predicted + support, 0), 0))
+            / sum(support) from {classes}"""
+
+
+def _checks(model: str, label: str) -> str:
+    """The size of the problem, and what a fit must hold."""
+    of_classes = label == "crowdIndex"
+    constant = ("""1 - max(n) / sum(n)::double from (
+          select count(*) as n from indexed where training group by crowdIndex)""" if of_classes
+                else f"stddev_pop({label}) from indexed where training")
+    rows = [("training_rows", "count(*)::double from indexed where training"),
+            ("test_rows", "count(*)::double from indexed where not training"),
+            ("label_mean", f"round(avg({label}), 6) from indexed where training"),
+            ("no_worse", "1.0::double")]
+    if not of_classes:
+        rows.append(("unbiased", "1.0::double"))
+    return "\nunion all ".join(
+        [f"select '{model}' as model, '{name}' as metric, {value}" + " as value" * ("from" not in value)
+         for name, value in rows[-1:] + rows[:-1]]
+        + [f"select '{model}', 'constant_error', round(value, 6) from (select {constant.replace(' from', ' as value from', 1)})"])
+
+
 _ENDING = f"select dataset, subscriber from last where events > 1 and {_within(AIRPORT)}"
 _EVENT_PROFILE = (["lat", "lng"], ["dataset", "subscriber"])
 
@@ -209,17 +275,30 @@ _BODIES = {
           (('0x' || substr(digest, 1, 8))::bigint % 1000 < 700) as training,
           cast(('0x' || substr(digest, 9, 8))::bigint % 4 as integer) as fold
         from hashed""",
-    "evaluate": """select metric, round(value, 6) as value from (
-          select 'rmse' as metric, sqrt(avg((p - l) * (p - l))) as value from guessed
-          union all select 'mae', avg(abs(p - l)) from guessed
-          union all select 'r2', 1 - sum((p - l) * (p - l))
-                    / (sum(l * l) - count(*) * avg(l) * avg(l)) from guessed
-          union all select 'accuracy', avg((p = l)::int::double) from guessed
-          union all select 'weightedPrecision',
-              sum(support * coalesce(hits / nullif(predicted, 0), 0)) / sum(support) from classes
-          union all select 'f1',
-              sum(support * coalesce(2.0 * hits / nullif(predicted + support, 0), 0))
-              / sum(support) from classes)""",
+    "feature_vectors_no_position": """select dataset, dataframe, lat, lng,
+          d.i as f0, dataframe::double as f1, lastFrameCrowd::double as f2,
+          knnMin::double as f3, knnSum::double as f4, knnAvg as f5, knnClosest as f6
+        from features join (select dataset, cast(row_number() over (
+            order by count(*) desc, dataset) - 1 as double) as i
+          from features group by dataset) d using (dataset)""",
+    "nearest_cells_5": f"""select lat, lng, oLat, oLng, haversine from (
+          select *, rank() over (partition by lat, lng order by haversine) as r from (
+            select a.lat, a.lng, b.lat as oLat, b.lng as oLng,
+                   round({_km('a.lat', 'a.lng', 'b.lat', 'b.lng')}, 2) as haversine
+            from cells a, cells b where not (a.lat = b.lat and a.lng = b.lng)))
+        where r <= 5""",
+    "longest_paths_3": """select dataset, subscriber, haversine from (
+          select *, rank() over (partition by dataset order by haversine desc) as r
+          from extents) where r <= 3""",
+    "evaluate": f"select metric, round(value, 6) as value from ({_metrics('guessed', 'classes')})",
+    "predict_naive_bayes": _checks("naive_bayes", "crowdIndex") + f"""
+        union all select 'naive_bayes', metric, round(value, 6)
+        from ({_metrics('bayes_guessed', 'bayes_classes')})""",
+    "predict_logistic_regression": _checks("logistic_regression", "crowdIndex"),
+    "predict_decision_tree_classifier": _checks("decision_tree_classifier", "crowdIndex"),
+    "predict_linear_regression": _checks("linear_regression", "crowd"),
+    "predict_poisson_regression": _checks("poisson_regression", "crowd"),
+    "predict_decision_tree_regressor": _checks("decision_tree_regressor", "crowd"),
 }
 
 

@@ -107,3 +107,30 @@ def test_same_result_twice(features):
 def test_unknown_day_in_test(spark, features):
     only_test = lambda t: (t.filter("dataset != 'd07'"), t.filter("dataset = 'd07'"))
     assert P.fit_cv("decision_tree_regressor", features, split=only_test).metrics().count() == 6
+
+
+def test_prepared_once_for_all_models(spark, features):
+    with P.prepared(features) as rows:
+        assert rows.training.count() + rows.test.count() == features.count()
+        for name in ("linear_regression", "naive_bayes"):
+            together, alone = P.fit(name, rows), P.fit_cv(name, features)
+            assert np.allclose(together.scores, alone.scores, rtol=1e-6)
+            assert together.predictions.count() == alone.predictions.count() == rows.test.count()
+
+
+def test_checks_follow_from_the_fit(spark, features):
+    with P.prepared(features) as rows:
+        fitted = P.fit("linear_regression", rows)
+        found = {r.metric: r.value for r in P.checks(fitted, rows).collect()}
+        assert found["no_worse"] == found["unbiased"] == 1.0
+        assert found["training_rows"] == rows.training.count() and found["test_rows"] == rows.test.count()
+
+        class Far:  # predicts ten more than the model
+            def transform(self, df):
+                return fitted.model.transform(df).withColumn("prediction", F.col("prediction") + 10)
+
+        class Wrong:
+            spec, model = fitted.spec, Far()
+
+        found = {r.metric: r.value for r in P.checks(Wrong, rows).collect()}
+        assert found["no_worse"] == found["unbiased"] == 0.0
