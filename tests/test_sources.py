@@ -73,6 +73,15 @@ def test_writers(spark, tmp_path):
     assert json.loads(part.read_text().splitlines()[0]).keys() == {"id", "v"}
 
 
+def test_results_by_day(spark, tmp_path):
+    df = spark.range(20).selectExpr("id", "concat('01.0', id % 3) as dataset")
+    write_csv(df, str(tmp_path / "c"), partition_by=["dataset"])
+    write_json(df, str(tmp_path / "j"), partition_by=["dataset"])
+    for folder, read in (("c", spark.read.option("header", True).csv), ("j", spark.read.json)):
+        assert len(list((tmp_path / folder).glob("dataset=*"))) == 3
+        assert read(str(tmp_path / folder / "dataset=01.01")).count() == 7
+
+
 def test_run_writes_every_result(spark, tmp_path):
     raw = raw_events(spark, "/root/testdata/sf0.001")
     fitted = run(raw, str(tmp_path), models=["linear_regression"], single_file=True)
@@ -82,6 +91,8 @@ def test_run_writes_every_result(spark, tmp_path):
                                   "airport", "crowd")} == {
         "cells": 112, "metadata": 30, "quantiles": 120, "cume_dist": 257, "longest_paths": 497,
         "airport": 20, "crowd": 966}
+    assert lines("prediction_details/linear_regression") == 10
+    assert lines("prediction_residuals/linear_regression") > 0
     assert lines("prediction/linear_regression") == 6 and lines("profiles/original") == 5
     assert fitted.keys() == {"linear_regression"} <= MODELS.keys()
     with pytest.raises(ValueError):
