@@ -57,6 +57,21 @@ def test_copies_that_are_alike_through_their_original_only(frame):
     assert {r.component_id for r in got} == {0}
 
 
+@pytest.mark.parametrize("shape", ["path", "random", "star", "none"])
+def test_components_of_graphs(spark, shape):
+    rng = random.Random(5)
+    ids = rng.sample(range(10_000), 300)
+    pairs = {"path": list(zip(ids, ids[1:])), "star": [(ids[7], x) for x in ids if x != ids[7]],
+             "random": [tuple(rng.sample(ids, 2)) for _ in range(200)], "none": []}[shape]
+    label = {x: x for p in pairs for x in p}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    links = spark.createDataFrame(pairs, "a long, b long")
+    got = minhash.components(links).collect()
+    assert {r.rep: r.component for r in got} == label and len(got) == len(label)
+
+
 def test_bands_follow_from_the_threshold():
     for percent in (50, 80, 85, 95, 100):
         like = Likeness(5, percent)
