@@ -78,13 +78,12 @@ def semi_join_selective(rows: DataFrame, keys: DataFrame, on: Sequence[str],
         return F.pmod(F.xxhash64(*on), F.lit(_FILTER_SLOTS))
 
     part = F.lit(float(HEAVY_ROWS if heavy_rows is None else heavy_rows))
-    slots = (keys.groupBy(slot().alias("_slot"))
-             .agg(F.max(F.ceil(F.col(weight) / part).cast("int")).alias("_parts")))
-    slots = F.broadcast(slots)
-    passed = (rows.withColumn("_slot", slot()).join(slots, "_slot")
+    keys = keys.select(*on, slot().alias("_slot"), F.ceil(F.col(weight) / part).cast("int").alias("_own"))
+    keys = keys.withColumn("_parts", F.max("_own").over(W.partitionBy("_slot")))
+    slots = keys.groupBy("_slot").agg(F.max("_parts").alias("_parts"))
+    passed = (rows.withColumn("_slot", slot()).join(F.broadcast(slots), "_slot")
               .withColumn("_spread", spread_of(spread_by, F.col("_parts"))))
-    keys = (keys.select(*on, slot().alias("_slot")).join(slots, "_slot")
-            .select(*on, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_spread")))
+    keys = keys.select(*on, F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_spread"))
     return passed.join(keys, [*on, "_spread"], "left_semi").select(*rows.columns)
 
 
