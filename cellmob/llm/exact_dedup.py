@@ -10,6 +10,7 @@ that of a group of copies, however large, at most one row per task is shuffled.
 Defined cases: null text counts as empty; an empty table gives an empty result; repeated
 rows are copies of each other and return one row each, all marked kept if their id is the
 one that stays; rows without an id stay only if no copy has one; other columns are not read.
+``keep_first`` chooses rows, not ids: of each group exactly one stays.
 """
 
 from __future__ import annotations
@@ -158,24 +159,36 @@ def content_groups(docs: DataFrame) -> DataFrame:
 
 def _digests(batch: pa.RecordBatch) -> Iterator[dict]:
     yield {"doc_id": batch.column(0), "text_sha256": [
-        hashlib.sha256(normalised(t)).hexdigest() for t in texts_of(batch.column(1))]}
+        hashlib.sha256(normalised(t)).hexdigest() for t in texts_of(batch.column(1))],
+        **{name: batch.column(name) for name in batch.schema.names[2:]}}
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256. Of rows with
-    equal normalised texts the one with most code points, then the smallest id is kept."""
+def _judged(docs: DataFrame, more: str = "") -> DataFrame:
+    """What ``dedup`` returns, and the long columns named in ``more``."""
     groups = written(content_groups(docs), "groups")
-    rows = map_batches(docs.select("doc_id", "text"), _digests, "doc_id long, text_sha256 string")
+    names = more.split()
+    rows = map_batches(docs.select("doc_id", "text", *names), _digests, ", ".join(
+        ["doc_id long, text_sha256 string", *(f"{x} long" for x in names)]))
     return rows.join(groups, "text_sha256").select(
         "doc_id", "keep_id", "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *names)
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256. Of rows with
+    equal normalised texts the one with most code points, then the smallest id is kept."""
+    return _judged(docs)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept; rows which share a kept id all stay."""
-    kept = dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept.where("doc_id is not null"), "doc_id", "left_semi").unionByName(
-        docs.where("doc_id is null"))
+    """One row of ``docs`` of each group: of the rows with its kept id, which may be null,
+    the one with most code points, then the first."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    sized = rows.select("doc_id", "text", "_row", F.coalesce(
+        F.length("text"), F.lit(0)).cast("long").alias("_chars"))
+    one = _judged(sized, "_row _chars").where("kept").groupBy("text_sha256").agg(
+        F.min(F.struct((-F.col("_chars")).alias("_less"), "_row"))["_row"].alias("_row"))
+    return rows.join(one.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

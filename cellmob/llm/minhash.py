@@ -23,7 +23,8 @@ limited size, and every pair of blocks is compared by one task.
 Defined cases: a document without words, or with a null text, is linked with nothing; with
 fewer words than a shingle the whole sequence is one shingle; rows without an id are
 components of their own with a null id; rows that share an id share its component; an empty
-table gives an empty result; only doc_id and text are read.
+table gives an empty result; only doc_id and text are read. ``keep_first`` takes every row
+for a document of its own, whatever its id, and of each component exactly one row stays.
 """
 
 from __future__ import annotations
@@ -374,10 +375,14 @@ def near_duplicates(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the least of its component."""
-    kept = near_duplicates(docs, words, percent).where("kept").select("doc_id").distinct()
-    return docs.join(kept.where("doc_id is not null"), "doc_id", "left_semi").unionByName(
-        docs.where("doc_id is null"))
+    """One row of ``docs`` of each component: the one of least id, null last, then the first."""
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), words, percent)
+    named = found.select(F.col("doc_id").alias("_row"), "component_id").join(
+        rows.select("_row", "doc_id"), "_row")
+    one = named.groupBy("component_id").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("_null"), "doc_id", "_row"))["_row"].alias("_row"))
+    return rows.join(one.select("_row"), "_row", "left_semi").select(*docs.columns)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

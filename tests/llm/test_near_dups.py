@@ -88,6 +88,20 @@ def test_keep_first(frame):
     assert kept.columns == frame(rows).columns
 
 
+def test_one_row_of_each_group_stays(frame):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text), (1, text), (1, text + "  "), (None, text), (None, text + " "),
+            (None, "no copy with an id"), (None, "no copy  with an id"), (None, "no copy  with an id"),
+            (2, "one id"), (2, "two texts"), (2, "two texts")]
+    exact = exact_dedup.keep_first(frame(rows))
+    assert sorted(((r.doc_id, r.text) for r in exact.collect()), key=repr) == sorted(
+        [(1, text + "  "), (None, "no copy  with an id"), (2, "one id"), (2, "two texts")], key=repr)
+    assert exact.columns == frame(rows).columns
+    near = minhash.keep_first(frame([*rows, (0, text + " end"), (None, text + " end end"), (None, None), (None, None)]))
+    assert sorted(((r.doc_id, (r.text or "").replace("  ", " ")) for r in near.collect()), key=repr) == sorted(
+        [(0, text + " end"), (None, "no copy with an id"), (2, "one id"), (2, "two texts"), (None, ""), (None, "")], key=repr)
+
+
 def test_empty(frame):
     assert minhash.near_duplicates(frame([]), 3, 85).collect() == []
     assert exact_dedup.dedup(frame([])).collect() == []
