@@ -9,7 +9,9 @@ of text which all windows of that anchor cover.
 
 1. A gram that occurs once has no repeated window; it goes.
 2. Of stretches that are equal as a whole, all windows repeat. No text is needed for them,
-   and of any number of copies one stands for all from here on.
+   and of any number of copies, in one text or in many, one stands for all from here on.
+   Where only windows of earlier documents count, copies inside the first document are its
+   *twins*: what is found in the one that stands is gone from them too.
 3. The stretches that are left, those at the edges of repeated passages, are fetched from
    the texts. All that share a gram meet in one task, which compares their windows; see
    ``classes``. A gram with more than ``CROWDED`` different stretches (a passage which occurs
@@ -267,7 +269,7 @@ def _several(window: np.ndarray, group: np.ndarray):
 
 
 def _spans(unit: Unit, h, doc, at, first, last, contents: list[bytes]):
-    """(doc, first, last) of the repeated windows of some fragments."""
+    """(h, doc, at, first, last) of the repeated windows of some fragments."""
     lengths = last - first + 1
     fragment = np.repeat(np.arange(len(h)), lengths)
     place = np.arange(len(fragment)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -296,41 +298,44 @@ def _spans(unit: Unit, h, doc, at, first, last, contents: list[bytes]):
         repeated[window] = True
     hit = np.flatnonzero(repeated)
     if not len(hit):
-        return doc[:0], doc[:0], doc[:0]
+        return h[:0], doc[:0], at[:0], first[:0], last[:0]
     cut = (hit[1:] != hit[:-1] + 1) | (fragment[hit[1:]] != fragment[hit[:-1]])
     begin, end = hit[np.concatenate([[True], cut])], hit[np.concatenate([cut, [True]])]
     of = fragment[begin]
-    return doc[of], first[of] + place[begin], first[of] + place[end]
+    return h[of], doc[of], at[of], first[of] + place[begin], first[of] + place[end]
 
 
 # ---- the Spark job -------------------------------------------------------------------------
 
 _FRAGMENT = ("h long, doc long, at long, first long, last long, crowded boolean, content binary")
-_SPAN = "doc long, first long, last long"
+_SPAN = "h long, doc long, at long, first long, last long"
 
 
 def _decided(docs: DataFrame, unit: Unit) -> DataFrame:
-    """Anchors whose stretch repeats as a whole (``whole``) or is to be compared (``rest``)."""
+    """Anchors whose stretch repeats as a whole (``whole``), is to be compared (``rest``: one
+    for each gram and stretch), or is a twin of the one at ``stands`` in the same document."""
     found = anchors(docs, unit)
     # written apart, so that the join shuffles both sides, and Spark can split a hot key
     several = written(found.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1").select("h"), "grams")
     found = written(found.join(several, "h"), "anchors")
 
     stretches = written(found.groupBy("h", "stretch").agg(
-        F.count("*").alias("_copies"), F.min("doc").alias("_least")), "stretches")
+        F.count("*").alias("_copies"), F.min(F.struct("doc", "at")).alias("_one"))
+        .select("h", "stretch", "_copies", F.col("_one.doc").alias("_least"),
+                F.col("_one.at").alias("stands")), "stretches")
     grams = written(stretches.groupBy("h").agg(F.count("*").alias("_different")), "grams")
     stretches = stretches.join(grams, "h")
-    if unit.earlier:
-        whole, stands = F.col("doc") > F.col("_least"), F.col("doc") == F.col("_least")
-    else:
-        whole = F.col("_copies") > 1
-        stands = (F.col("_copies") == 1) | (F.col("doc") == F.col("_least"))
+    whole = F.col("doc") > F.col("_least") if unit.earlier else F.col("_copies") > 1
+    several, first = F.col("_different") > 1, F.col("doc") == F.col("_least")
+    one = first & (F.col("at") == F.col("stands"))
+    twin = several & first & ~one if unit.earlier else F.lit(False)
     return written(
         found.join(stretches, ["h", "stretch"])
-        .withColumns({"whole": whole, "rest": stands & (F.col("_different") > 1),
+        .withColumns({"whole": whole, "rest": one & several, "twin": twin,
                       "crowded": F.col("_different") > CROWDED})
-        .where("whole or rest")
-        .select("h", "doc", "at", "first", "last", "whole", "rest", "crowded"), "decided")
+        .where("whole or rest or twin")
+        .select("h", "doc", "at", "first", "last", "whole", "rest", "twin", "stands", "crowded"),
+        "decided")
 
 
 def _fragments(docs: DataFrame, rest: DataFrame, unit: Unit) -> DataFrame:
@@ -364,10 +369,9 @@ def _compared(fragments: DataFrame, unit: Unit) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_gram(batches):
-            doc, first, last = _spans(
+            found = _spans(
                 unit, *(rows.column(i).to_numpy() for i in range(5)), rows.column("content").to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc), pa.array(first), pa.array(last)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
 
     ordered = fragments.repartition("h").sortWithinPartitions("h")
     return ordered.mapInArrow(compare, _SPAN)
@@ -451,7 +455,7 @@ def _counted(fragments: DataFrame, unit: Unit) -> DataFrame:
             .withColumn("_whole", F.coalesce(repeats, F.lit(False)))
             .withColumn("_open", F.col("_differ") & F.coalesce(F.col("doc") == F.col("_least"), F.lit(True)))
             .select("h", "doc", "at", "first", "last", "_whole", "_open"), "blocks")
-        found = some.where("_whole").select("doc", "first", "last")
+        found = some.where("_whole").select("h", "doc", "at", "first", "last")
         spans = found if spans is None else spans.unionByName(found)
         if size > 1:
             open_ = some.where("_open").groupBy("h", "doc", "at").agg(
@@ -461,6 +465,16 @@ def _counted(fragments: DataFrame, unit: Unit) -> DataFrame:
     return spans
 
 
+def _with_twins(spans: DataFrame, twins: DataFrame) -> DataFrame:
+    """``spans``, and those of the twins at the same distance from their grams."""
+    if twins.isEmpty():
+        return spans
+    moved = twins.select("h", "doc", F.col("stands").alias("at"), (F.col("at") - F.col("stands")).alias("_by"))
+    return spans.unionByName(spans.join(moved, ["h", "doc", "at"]).select(
+        "h", "doc", "at", (F.col("first") + F.col("_by")).alias("first"),
+        (F.col("last") + F.col("_by")).alias("last")))
+
+
 def repeated_spans(docs: DataFrame, unit: Unit) -> DataFrame:
     """Per document with repeated windows: doc, and ``spans``, an array of (first, last)
     starts of windows which may overlap and come in no order.
@@ -469,10 +483,13 @@ def repeated_spans(docs: DataFrame, unit: Unit) -> DataFrame:
     """
     decided = _decided(docs, unit)
     fragments = _fragments(docs, decided.where("rest"), unit)
-    spans = decided.where("whole").select("doc", "first", "last")
-    spans = spans.unionByName(_compared(fragments.where("not crowded"), unit))
+    spans = _compared(fragments.where("not crowded"), unit)
     if not fragments.where("crowded").isEmpty():
         spans = spans.unionByName(_counted(fragments.where("crowded"), unit))
+    if unit.earlier:
+        spans = _with_twins(written(spans, "spans"), decided.where("twin"))
+    spans = decided.where("whole").select("doc", "first", "last").unionByName(
+        spans.select("doc", "first", "last"))
     return spans.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 

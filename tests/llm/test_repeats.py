@@ -80,6 +80,23 @@ def test_kept_contents(frame):
     assert kept == {1: b"", 2: b"x  y"}
 
 
+@pytest.mark.parametrize("crowded", [512, 1])
+@pytest.mark.parametrize("unit", [Unit(True, 12, 4, earlier=True), Unit(False, 30, 9, shallow=1)])
+def test_of_copies_in_one_document_one_goes_on(frame, unit, crowded, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWDED", crowded)
+    own = [f"{i * i * 7919 % 9973}" for i in range(200)]
+    run, passage = ["x"] * 400, own[:20]
+    long = own[40:60] + run + own[60:80] + (own[80:90] + passage + own[90:100]) * 3 + run
+    rows = [(5, " ".join(long)), (2, " ".join(own[100:130] + passage + own[130:140])),
+            (3, " ".join(own[140:150] + ["x"] * 15 + own[150:160])), (7, "x" * 3000 + "y" * 40 + "x" * 900)]
+    made = []
+    fragments = repeats._fragments
+    monkeypatch.setattr(repeats, "_fragments", lambda docs, rest, unit: made.append(rest) or fragments(docs, rest, unit))
+    dedup, plain = (substring.dedup, plain_words) if unit.words else (suffixes.dedup, plain_bytes)
+    assert rows_of(dedup(frame(rows), unit)) == sorted(plain(rows, unit.window), key=repr)
+    assert 0 < made[0].count() < 250
+
+
 def test_empty(frame):
     assert substring.dedup(frame([])).collect() == []
     assert suffixes.dedup(frame([])).collect() == []
