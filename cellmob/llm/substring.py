@@ -1,10 +1,12 @@
-"""Substring deduplication of words by prefix-partitioned suffix trees.
-
-Suffixes of the texts are partitioned by prefixes of variable length: by a gram of ten
-words, or, where one of those has too many different surroundings to fit a task's memory,
-by the whole window of fifty, which needs no tree. Each task builds the trees of its
-groups top-down, branching by words, all groups a level at a time. The deep internal
-nodes, those at a depth of a whole window, are the repeats. See ``repeats``.
+"""Substring deduplication of words by anchors and tries of fixed depth.
+
+This is not a partition of all suffixes by prefixes of variable length. Windows of fifty
+words are partitioned by their anchor, the gram of ten words of least hash, which may lie
+anywhere in the window; stretches that are equal as a whole are decided by 64-bit hashes.
+Each task compares the windows of its grams by tries that branch by words, all groups a
+level at a time, down to the depth of a window: they find equal windows, not maximal
+repeats. A gram with too many different surroundings is not divided by longer prefixes:
+hashes of blocks of 16, 4 and 1 of its windows are counted. See ``repeats``.
 
 Defined cases: a null text has no words; texts shorter than a window keep all; repeats
 inside one document stay, since no document with a smaller id holds them; rows without an
