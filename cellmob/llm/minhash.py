@@ -44,7 +44,7 @@ from cellmob.llm.scratch import small, written
 
 ROWS = 3  # minhashes of a band
 MISSED = 1e-3
-LOOSE = 0.5  # share of minhashes that agree in a cluster
+LOOSE = 0.5  # share of minhashes that agree in a cluster, or less if links need less
 BLOCK = 2048  # classes of a bucket held by one task at a time
 SHINGLES = 1_000_000  # of a cluster held by one task at a time
 _TEXTS = 400_000  # shingles hashed at once
@@ -165,7 +165,9 @@ def _alike(like: Likeness, n1, n2, m1: np.ndarray, m2: np.ndarray) -> np.ndarray
 
 
 def related(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
-    """The pairs (a, b) of which at least ``LOOSE`` of the minhashes agree."""
+    """The pairs (a, b) of which at least ``LOOSE`` of the minhashes agree, or as many as links
+    need where that is less."""
+    least = min(LOOSE * like.hashes, like.least_agreeing)
     side = lambda x: classes.select(
         F.col("rep").alias(x), F.col("minhash").alias(f"m_{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "m_a", "m_b")
@@ -173,7 +175,7 @@ def related(pairs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
     def agreeing(batch: pa.RecordBatch) -> Iterator[dict]:
         m1, m2 = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32)
                   .reshape(-1, like.hashes) for i in (2, 3))
-        kept = (m1 == m2).sum(1) >= LOOSE * like.hashes
+        kept = (m1 == m2).sum(1) >= least
         yield {"a": batch.column(0).to_numpy()[kept], "b": batch.column(1).to_numpy()[kept]}
 
     return written(map_batches(both, agreeing, "a long, b long"), "related")

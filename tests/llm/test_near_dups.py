@@ -80,6 +80,15 @@ def test_bands_follow_from_the_threshold():
         assert 0 <= like.least_agreeing <= like.hashes
 
 
+def test_pairs_exactly_at_a_low_threshold(frame):
+    rows = []
+    for i in range(30):
+        common = [f"c{i}-{j}" for j in range(100)]
+        rows += [(2 * i + k, " ".join(common + [f"own{i}-{k}-{j}" for j in range(50)])) for k in (0, 1)]
+    got = minhash.near_duplicates(frame(rows), 1, 50).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i, _ in rows}
+
+
 def test_keep_first(frame):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(3, text), (2, text + " end"), (7, "other words"), (8, None), (9, "")]
