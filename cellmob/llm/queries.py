@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellmob.llm import (exact_dedup, language, minhash, mixing, packing, quality, sharding,
-                         substring, suffixes, vectors_topk)
+from cellmob.llm import (alignment, decontamination, exact_dedup, hard_negatives, language,
+                         minhash, mixing, packing, quality, sharding, substring, suffixes,
+                         vectors_topk)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": substring.op1,
@@ -20,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": minhash.op8,
     "op9_suffix_array_dedup": suffixes.op9,
     "op10_best_fit_packing": packing.op10,
+    "op11_tokenizer_alignment": alignment.op11,
+    "op12_benchmark_decontamination": decontamination.op12,
+    "op13_hard_negatives": hard_negatives.op13,
 }
 
 # The others depend on hashes, fitted models or a search that SQL cannot express;
@@ -31,4 +35,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_exact_topk": vectors_topk.SQL,
     "op8_minhash_dedup": minhash.SQL,
     "op9_suffix_array_dedup": suffixes.SQL,
+    "op12_benchmark_decontamination": decontamination.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
