@@ -1,6 +1,7 @@
 """Mixing, sharding and packing: brute force, invariants and exact round trips."""
 
 import itertools
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -15,6 +16,7 @@ from tokenizers import Tokenizer
 from cellmob.llm import mixing, packing, prefix, sharding
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+PLAIN, WORDS = Tokenizer.from_file(WORD_BPE), packing.WordTokens(WORD_BPE)
 
 
 def plain_targets(sizes):
@@ -193,3 +195,69 @@ def test_search_empties_a_bin():
     lengths = [6, 3, 5, 5, 3, 2]  # (6 3) (5 5) (3 2): all fit no fewer; with room 12 two do
     bins = packing.improve([[0, 1], [2, 3], [4, 5]], lengths, 12)
     assert len(bins) == 2
+
+
+@given(st.lists(st.text(alphabet="İiJHTWYjhΣσé̱̌̈̊̇́.,;:!?#&*$%|0a ", max_size=12), max_size=6))
+@settings(max_examples=400, deadline=None)
+def test_word_tokens_of_letters_and_marks_that_compose(texts):
+    assert [x.tolist() for x in WORDS.texts([t.encode() for t in texts])] == [
+        PLAIN.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_word_tokens_of_capitals_before_marks():
+    for t in ("DENİZCİ.", "GEMİCİ,", "İ!", "J̌", "xJ̌. ok", "H̱ T̈ W̊ Y̊", "ẞ. ǅ; ŉ"):
+        assert WORDS(t.encode()).tolist() == PLAIN.encode(t, add_special_tokens=False).ids
+
+
+def test_word_tokens_after_the_memory_was_emptied(monkeypatch):
+    monkeypatch.setattr(packing, "_WORDS", 5)
+    words = packing.WordTokens(WORD_BPE)
+    for n in range(12):
+        text = f"word{n} and. word{n + 1}! again"
+        assert words(text.encode()).tolist() == PLAIN.encode(text, add_special_tokens=False).ids
+
+
+def fewest(lengths, room):
+    """The least number of bins, by trying all."""
+    lengths = sorted(lengths, reverse=True)
+
+    def fits(at, left):
+        if at == len(lengths):
+            return True
+        for b in {x: i for i, x in enumerate(left)}.values():  # bins with as much left are alike
+            if left[b] >= lengths[at]:
+                left[b] -= lengths[at]
+                if fits(at + 1, left):
+                    return True
+                left[b] += lengths[at]
+        return False
+
+    return next(n for n in range(len(lengths) + 1) if fits(0, [room] * n))
+
+
+def test_search_comes_near_the_optimum():
+    rng = random.Random(5)
+    first = found = least = 0
+    for _ in range(150):
+        lengths = [rng.randint(3, 14) for _ in range(rng.randint(4, 11))]
+        bins = packing.best_fit(lengths, 24)
+        first += len(bins)
+        found += len(packing.improve(bins, lengths, 24))
+        least += fewest(lengths, 24)
+    assert least <= found <= first and found - least <= 0.03 * least
+
+
+def test_search_looks_at_all_bins():
+    """Pieces of which three may or may not fit: what groups of bins would miss."""
+    rng = random.Random(0)
+    lengths = [rng.randint(1300, 1500) for _ in range(3000)]
+    bins = packing.improve(packing.best_fit(lengths, 4096), lengths, 4096)
+    assert sorted(i for b in bins for i in b) == list(range(3000))
+    assert len(bins) < 1215  # 1,248 by groups of 128 bins, 1,237 by groups of 512
+
+
+def test_bins_of_many_small_pieces():
+    rng = random.Random(1)
+    lengths = [rng.randint(1, 9) for _ in range(9000)] + [4001] * 9
+    bins = packing.improve(packing.best_fit(lengths, 4096), lengths, 4096)
+    assert len(bins) <= -(-sum(lengths) // 4096) + 1
