@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterable, Iterator
+from types import ModuleType
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -28,6 +30,14 @@ def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], Iterable[di
     return df.mapInArrow(run, schema)
 
 
+def worker_memory() -> dict:
+    """What this Python worker keeps from one task to the next. Spark reuses its workers, but
+    unpickles the functions of each task anew; only what is costly to make again and bounded
+    in size belongs here."""
+    name = "cellmob_worker_memory"
+    return sys.modules.setdefault(name, ModuleType(name)).__dict__
+
+
 def arrow_schema(schema: str | StructType) -> pa.Schema:
     return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmob.llm.arrow import bytes_of, map_batches
+from cellmob.llm.arrow import bytes_of, map_batches, worker_memory
 from cellmob.llm.scratch import written
 
 LENGTH = 4096
 END = 1
 CHUNK = 32_000  # pieces packed together
-_WORDS = 800_000  # of which a task remembers the ids
+_WORDS = 1_000_000  # of which a worker remembers the ids
 _TOGETHER = 500
 _CHUNK = 1 << 18  # bytes of text whose words are looked up together
 _BETWEEN = b"0"  # a word of one token
@@ -172,10 +172,9 @@ _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, row l
 
 def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, and ``row``, a hash of its text."""
-    kept: dict[str, WordTokens] = {}
-
     def cut(batch: pa.RecordBatch) -> Iterator[dict]:
-        tokens = kept.setdefault(path, None) or WordTokens(path)
+        kept = worker_memory()
+        tokens = kept.get(path) or WordTokens(path)
         kept[path] = tokens
         out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "row")}
         texts = [t or b"" for t in bytes_of(batch.column(1))]
