@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+Table = tuple[SparkSession, str]
+_written: list[Table] = []
 
 
 def folder(spark: SparkSession) -> str:
@@ -44,11 +47,24 @@ def small(table: DataFrame, rows: int = 50_000) -> DataFrame:
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 
+@contextmanager
+def recorded() -> Iterator[list[Table]]:
+    """What is written inside the block, for :func:`clear`."""
+    first, mine = len(_written), []
+    try:
+        yield mine
+    finally:
+        mine += _written[first:]
+
+
 @atexit.register
-def clear() -> None:
-    """Delete all tables written so far; results that still read them end with this."""
-    while _written:
-        spark, path = _written.pop()
+def clear(tables: list[Table] | None = None) -> None:
+    """Delete these tables, or all written so far; results that still read them end with this."""
+    for table in list(_written if tables is None else tables):
+        if table not in _written:
+            continue
+        _written.remove(table)
+        spark, path = table
         try:
             jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
             where = jvm.org.apache.hadoop.fs.Path(path)

@@ -36,44 +36,92 @@ def plain_targets(sizes):
         left = 1.5 * sum(sizes.values()) - sum(target.values())
 
 
-def test_mix(frame, nasty):
-    got = mixing.mix(frame(nasty), payload=("source", "text")).collect()
-    assert len(got) == len(nasty)
-    sizes = Counter()
-    for i, t, _, s in nasty:
-        sizes[s] += len((t or "").encode().split())
+def name_of(marked):
+    """The source behind mix's never-null name."""
+    return None if marked == "1" else marked[1:]
+
+
+def check_mix(rows, got):
+    """The mix of (doc_id, text, lang, source) rows takes each source's target."""
+    sizes, taken, want = Counter(), Counter(), Counter()
+    for i, t, _, s in rows:
+        n = len((t or "").encode().split())
+        sizes[s] += n
+        want[i, s, n] += 1
     targets = plain_targets(sizes)
-    taken = Counter()
     for r in got:
-        assert r.size == len((r.text or "").encode().split()) and r.source_size == sizes[r.source]
-        assert r.target == pytest.approx(targets[r.source]) and 0 <= r.taken <= 2 * r.size
-        taken[r.source] += r.taken
-    for s in sizes:
-        assert taken[s] == int(targets[s] + 1e-9)
-    again = mixing.mix(frame(nasty, 7), payload=("source", "text"))
+        s = name_of(r._source)
+        want[r.doc_id, s, r.size] -= 1
+        assert r.source_size == sizes[s] and r.target == pytest.approx(targets[s])
+        assert 0 <= r.taken <= 2 * r.size
+        taken[s] += r.taken
+    assert not any(want.values())
+    assert {s: taken[s] for s in sizes} == {s: int(targets[s] + 1e-9) for s in sizes}
+
+
+def test_mix(frame, nasty):
+    got = mixing.mix(frame(nasty)).collect()
+    check_mix(nasty, got)
+    again = mixing.mix(frame(nasty, 7))
     assert sorted(map(repr, again.collect())) == sorted(map(repr, got))
 
 
 def test_a_source_with_most_words(frame):
     rows = [(i, "w " * (i % 9 + 1), "en", "hot" if i % 3 else f"s{i % 12}") for i in range(3000)]
-    rows += [(5000, "", "en", "no words")]
-    got = mixing.mix(frame(rows), payload=("source",)).collect()
-    sizes = Counter()
-    for i, t, _, s in rows:
-        sizes[s] += len(t.split())
-    targets, taken = plain_targets(sizes), Counter()
+    check_mix(rows + [(5000, "", "en", "no words")], mixing.mix(frame(
+        rows + [(5000, "", "en", "no words")])).collect())
+
+
+def one_id(n):
+    """Rows that mostly lack an id, or share one, with few different sizes."""
+    rows = [(None if i % 3 else 7, "w " * (i % 4 + 1), "en", "a") for i in range(n)]
+    return rows + [(10 + i, f"x{i} " * (i % 7 + 1), "en", "ab"[i % 2]) for i in range(n // 3)]
+
+
+def test_many_rows_of_one_id(frame, monkeypatch):
+    monkeypatch.setattr(mixing, "_PART", 500)
+    rows, parts, real = one_id(6000), [], mixing.running_total
+    def watched(units, *more):
+        parts.append(units.count())
+        return real(units, *more)
+    monkeypatch.setattr(mixing, "running_total", watched)
+    check_mix(rows, mixing.mix(frame(rows)).collect())
+    assert parts == [8 + 2000]  # what is sorted: one row for all alike
+
+
+def check_repeated(rows, got):
+    """Rows at a cut are taken whole or not: each source comes as near as its largest row."""
+    sizes, taken, times = Counter(), Counter(), Counter(map(tuple, got))
+    longest = Counter()
+    for _, t, _, s in rows:
+        n = len((t or "").encode().split())
+        sizes[s] += n
+        longest[s] = max(longest[s], n)
     for r in got:
-        taken[r.source] += r.taken
-    assert {s: taken[s] for s in sizes} == {s: int(targets[s] + 1e-9) for s in sizes}
+        taken[r.source] += len(r.text.encode().split())
+    for s, target in plain_targets(sizes).items():
+        assert abs(taken[s] - target) <= longest[s] / 2 + 1
+    known = Counter((i, t, lang, s) for i, t, lang, s in rows)
+    for row, n in times.items():
+        assert n <= 2 * known[row[0], row[1], row[2], row[3]]
 
 
-def test_repeated_rows_keep_columns(frame, nasty):
+def test_repeated(frame, nasty):
     docs = frame(nasty)
     mixed = mixing.repeated(docs)
     assert mixed.columns == docs.columns
+    check_repeated(nasty, mixed.collect())
     assert mixing.repeated(frame([])).collect() == [] and mixing.mix(frame([])).collect() == []
 
 
+def test_repeated_rows_alike_in_all_columns(frame):
+    """A cut in the middle of equal rows takes some of them."""
+    rows = [(5, "one two three", "en", "a")] * 700 + [(6, "four", "en", "b")] * 40 + [
+        (7 + i, f"text {i}", "en", "c") for i in range(30)] + [(None, "", "en", "c")] * 50
+    check_repeated(rows, mixing.repeated(frame(rows)).collect())
+    check_repeated(one_id(900), mixing.repeated(frame(one_id(900))).collect())
+
+
 def test_running_total(spark):
     rows = [(g, (k * 7919) % (1 << 60), k, k % 5) for g, n in (("a", 3000), ("b", 1), ("c", 40)) for k in range(n)]
     df = spark.createDataFrame(rows, "g string, k long, id long, v long")

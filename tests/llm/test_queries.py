@@ -7,7 +7,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline as P
-from cellmob.llm import language, queries
+from cellmob.llm import language, queries, scratch
 from compare import connect, difference
 from test_mix_shard_pack import plain_targets
 from test_near_dups import plain_components, plain_exact
@@ -99,11 +99,32 @@ def test_run_applies_the_stages(spark, stages):
 
 
 def test_odd_documents_pass_all_stages(spark, frame, nasty, tmp_path):
-    docs = frame(nasty)
+    """Rows without ids, repeated rows and empty texts, counted through every stage."""
+    docs, out = frame(nasty), []
     for n, (_, stage) in enumerate(P.STAGES):
         stage(spark, docs, None).write.parquet(str(tmp_path / str(n)))
         docs = spark.read.parquet(str(tmp_path / str(n)))
-    assert docs.count() > 0
+        out.append(docs.collect())
+    told, exact, near, mixed, packed = out
+    given = Counter((i, t) for i, t, *_ in nasty)
+    kept = Counter((r.doc_id, r.text) for r in told)
+    assert not kept - given and (None, "no id") in kept
+    same = lambda t: re.sub(r"[\x20\x09-\x0D]", "", t or "")
+    assert Counter(same(r.text) for r in exact) == Counter({same(t) for _, t in kept})
+    assert not Counter((r.doc_id, r.text) for r in exact) - kept
+    words = lambda t: (t or "").lower().split()
+    sets = [frozenset(zip(*(words(r.text)[k:] for k in range(5)))) or frozenset([tuple(words(r.text))])
+            for r in exact]
+    linked = list(range(len(exact)))
+    for a in range(len(exact)):
+        for b in range(a):
+            if sets[a] != {()} and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                linked = [linked[b] if x == linked[a] else x for x in linked]
+    assert len(near) == len(set(linked))
+    assert not Counter(map(tuple, near)) - Counter(map(tuple, exact))
+    times = Counter((r.doc_id, r.text) for r in mixed)
+    assert set(times) <= {(r.doc_id, r.text) for r in near if words(r.text)} and max(times.values()) <= 2
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in mixed)
     empty = frame([])
     for n, (_, stage) in enumerate(P.STAGES):
         stage(spark, empty, None).write.parquet(str(tmp_path / f"empty{n}"))
@@ -111,6 +132,15 @@ def test_odd_documents_pass_all_stages(spark, frame, nasty, tmp_path):
     assert empty.count() == 0
 
 
+def test_a_stage_deletes_what_the_one_before_wrote_for_itself(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    P.exact(spark, docs, SF_DIR).write.parquet(str(tmp_path / "exact"))
+    before = list(P._own)
+    assert before and set(before) <= set(scratch._written)
+    P.near(spark, spark.read.parquet(str(tmp_path / "exact")), SF_DIR).write.parquet(str(tmp_path / "near"))
+    assert P._own and not set(before) & set(scratch._written)
+
+
 def test_sql_of_removed_bytes_on_texts_of_many_scripts():
     con = duckdb.connect()
     con.execute("create table documents as select * from (values (1, repeat('aé', 200)), (2, null), (3, 'b')) t(doc_id, text)")
