@@ -1,4 +1,8 @@
-"""Crowd prediction with six Spark ML models, tuned by cross-validation."""
+"""Crowd prediction with six models, tuned by cross-validation.
+
+Four are Spark ML's. Linear regression and the folds of naive Bayes follow from sums over
+the rows (see ``moments``): one pass over them instead of some for each fold and grid point.
+"""
 
 from __future__ import annotations
 
@@ -20,6 +24,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellmob.operators import moments as M
 from cellmob.operators.evaluate import evaluate
 from cellmob.operators.holding import hold
 from cellmob.schema import FRAME_CELL
@@ -73,6 +78,7 @@ class FittedModel:
     grid: list[dict[str, object]]  # parameters of each grid point ...
     scores: list[float]  # ... and its mean score over the folds
     predictions: DataFrame  # of the test rows
+    training: DataFrame | None = None  # the rows fitted to
 
     @property
     def model(self):
@@ -89,6 +95,9 @@ class FittedModel:
 
     def residuals(self) -> DataFrame:
         """Residuals of the training rows, for the two models that report them."""
+        if isinstance(self.model, M.LinearFit):
+            return self.model.transform(self.training).select(
+                (F.col(self.spec.label) - F.col("prediction")).alias("residuals"))
         residuals = self.model.summary.residuals
         return residuals() if callable(residuals) else residuals
 
@@ -210,10 +219,28 @@ def prepared(table: DataFrame, features: Sequence[str] = FEATURES,
         yield Prepared(held, preparation.stages)
 
 
-def fit(name: str, table: Prepared, parallelism: int = 8) -> FittedModel:
+def fit_linear(table: Prepared) -> FittedModel:
+    """Linear regression from the moments of the folds, in one pass over the rows. Without
+    absolute values in the penalty this is Spark ML's fit; with them, Spark ML stops
+    after ten steps on the way to the optimum that is found here."""
+    spec = MODELS["linear_regression"]
+    grid = [{"regParam": reg, "elasticNetParam": mix} for reg in spec.grid["regParam"]
+            for mix in spec.grid["elasticNetParam"]]
+    points = [tuple(point.values()) for point in grid]
+    folds = M.moments(table.training, spec.label)
+    scores = M.linear_scores(folds, points)
+    best = M.fit_linear(M.total(list(folds.values())), *points[scores.index(min(scores))])
+    return FittedModel(spec, PipelineModel([*table.stages, best]), grid, scores,
+                       best.transform(table.test), table.training)
+
+
+def fit(name: str, table: Prepared, parallelism: int = 8, solver: str = "sums") -> FittedModel:
     """Fit one of :data:`MODELS`: search its grid over four folds, refit the best. The
-    predictions of the result can be read while ``table`` is held."""
+    predictions of the result can be read while ``table`` is held. ``solver="ml"`` leaves
+    all of it to Spark ML."""
     spec = MODELS[name]
+    if name == "linear_regression" and solver == "sums":
+        return fit_linear(table)
     settings = {"featuresCol": "features", "labelCol": spec.label}
     if spec.estimator in (LogisticRegression, LinearRegression, GeneralizedLinearRegression):
         settings["maxIter"] = MAX_ITER
@@ -237,38 +264,44 @@ def fit(name: str, table: Prepared, parallelism: int = 8) -> FittedModel:
                           table.training.filter(F.col("fold") == fold))
         return evaluator.evaluate(estimator.fit(rest, grid[point]).transform(held_out))
 
-    with ThreadPool(parallelism) as pool:  # the fits are Spark jobs; threads only wait
-        found = pool.map(inheritable_thread_target(table.rows.sparkSession)(score), [
-            (point, fold) for point in range(len(grid)) for fold in range(FOLDS)], chunksize=1)
-    scores = [sum(found[i:i + FOLDS]) / FOLDS for i in range(0, len(found), FOLDS)]
+    if name == "naive_bayes" and solver == "sums":
+        judged = M.bayes_scores(table.training, spec.label).agg(F.avg("accuracy"))
+        scores = [judged.first()[0] or 0.0]
+    else:
+        with ThreadPool(parallelism) as pool:  # the fits are Spark jobs; threads only wait
+            found = pool.map(inheritable_thread_target(table.rows.sparkSession)(score), [
+                (point, fold) for point in range(len(grid)) for fold in range(FOLDS)], chunksize=1)
+        scores = [sum(found[i:i + FOLDS]) / FOLDS for i in range(0, len(found), FOLDS)]
     choose = max if evaluator.isLargerBetter() else min
     best = estimator.fit(table.training, grid[scores.index(choose(scores))])
     return FittedModel(
         spec, PipelineModel([*table.stages, best]),
         [{p.name: v for p, v in point.items()} for point in grid], scores,
-        best.transform(table.test))
+        best.transform(table.test), table.training)
 
 
 def fit_cv(name: str, table: DataFrame, features: Sequence[str] = FEATURES,
            split: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = split_by_key,
-           parallelism: int = 8) -> FittedModel:
+           parallelism: int = 8, solver: str = "sums") -> FittedModel:
     """Prepare ``table`` and fit one model; its predictions are those of the test rows of
     ``table``, which they depend on."""
     with prepared(table, features, split) as rows:
-        fitted = fit(name, rows, parallelism)
-    _, test = split(crowd_indexer(table).transform(table))
+        fitted = fit(name, rows, parallelism, solver)
+    train, test = split(crowd_indexer(table).transform(table))
     fitted.predictions = fitted.pipeline.transform(test)
+    fitted.training = PipelineModel(fitted.pipeline.stages[:-1]).transform(train)
     return fitted
 
 
 def checks(fitted: FittedModel, table: Prepared) -> DataFrame:
-    """``model, metric, value``: the size of the problem, and whether the model holds what
-    any good fit must.
+    """``model, metric, value``: the size of the problem, and what the fit makes of it.
 
     ``constant_error`` is what the best constant prediction leaves of the training rows:
-    the root mean square for counts, the share of wrong rows for classes. ``no_worse`` is 1
-    if the model leaves no more. ``unbiased`` is 1 if its errors cancel, which follows from
-    the intercept, and from the means in the leaves of a tree.
+    the root mean square for counts, the share of wrong rows for classes. For the models
+    that follow from sums, ``training_error`` is what the fit leaves, and ``score_i`` are
+    the scores of the grid. Of the others, ``no_worse`` is 1 if the model leaves no more
+    than the constant, and ``unbiased`` is 1 if its errors cancel, which follows from the
+    intercept, and from the means in the leaves of a tree.
     """
     spec, label = fitted.spec, F.col(fitted.spec.label).cast("double")
     classes = spec.label == "crowdIndex"
@@ -283,11 +316,41 @@ def checks(fitted: FittedModel, table: Prepared) -> DataFrame:
     else:
         constant, left = spread, rmse
     out = {"training_rows": n, "test_rows": table.test.count(), "label_mean": round(mean, 6),
-           "constant_error": round(constant, 6), "no_worse": left <= constant + 1e-9}
-    if not classes:
-        out["unbiased"] = abs(bias) <= 1e-3 * max(1.0, abs(mean))
+           "constant_error": round(constant, 6)}
+    if spec.name in ("linear_regression", "naive_bayes"):
+        out["training_error"] = round(left, 6)
+        out.update({f"score_{i}": round(v, 6) for i, v in enumerate(fitted.scores)})
+    else:
+        out["no_worse"] = left <= constant + 1e-9
+        if not classes:
+            out["unbiased"] = abs(bias) <= 1e-3 * max(1.0, abs(mean))
+    if isinstance(fitted.model, M.LinearFit):
+        m = M.total(list(M.moments(table.training, spec.label).values()))
+        out.update(_of_linear(m, fitted.model))
     return table.rows.sparkSession.createDataFrame(
-        [(spec.name, k, float(v)) for k, v in out.items()], "model string, metric string, value double")
+        [(spec.name, k, float(v) + 0.0) for k, v in out.items()], "model string, metric string, value double")
+
+
+def _of_linear(m: M.Moments, fitted: M.LinearFit) -> dict[str, float]:
+    """Penalty, coefficients, what the fit minimises, and how far it is from the optimum."""
+    problem = M.problem(m, fitted.reg, fitted.mix)
+    return {"reg": fitted.reg, "mix": fitted.mix, "intercept": round(fitted.intercept, 7),
+            "objective": round(M.objective(m, fitted), 8),
+            "violation": round(M.violation(problem, M.standardised(problem, fitted)), 7),
+            **{f"coefficient_{i}": round(float(b), 8) for i, b in enumerate(fitted.coefficients)}}
+
+
+def linear_path(table: Prepared) -> DataFrame:
+    """``point, name, value``: the fit of each grid point of linear regression to all training
+    rows, and its score over the folds."""
+    spec = MODELS["linear_regression"]
+    folds = M.moments(table.training, spec.label)
+    points = [(reg, mix) for reg in spec.grid["regParam"] for mix in spec.grid["elasticNetParam"]]
+    whole, out = M.total(list(folds.values())), []
+    for n, (point, score) in enumerate(zip(points, M.linear_scores(folds, points))):
+        found = {"score": round(score, 6), **_of_linear(whole, M.fit_linear(whole, *point))}
+        out += [(n, name, float(v) + 0.0) for name, v in found.items()]
+    return table.rows.sparkSession.createDataFrame(out, "point int, name string, value double")
 
 
 def _details(fitted: FittedModel) -> dict[str, Sequence[float]]:
@@ -300,6 +363,8 @@ def _details(fitted: FittedModel) -> dict[str, Sequence[float]]:
     if fitted.spec.is_tree:
         return {"feature_importances": model.featureImportances.toArray()}
     out = {"coefficients": model.coefficients.toArray(), "intercept": [model.intercept]}
+    if isinstance(model, M.LinearFit):
+        return {**out, "reg": [model.reg], "mix": [model.mix]}
     if kind is GeneralizedLinearRegression:
         s = model.summary
         out.update(

@@ -7,6 +7,7 @@ grids: the comparison checks those too.
 from __future__ import annotations
 
 from cellmob.schema import AIRPORT, INNER_CITY, OUTER_CITY, Area
+from cellmob.testdata import linear_sql
 from cellmob.testdata.view import RAW_SQL
 
 
@@ -77,7 +78,7 @@ _TABLES = {
                round(max(haversine) over w, 2) as knnClosest
         from beside window w as (partition by dataset, dataframe, lat, lng)""",
     "hashed": """
-        select *, md5(concat_ws('|', dataset, cast(dataframe as varchar),
+        select *, row_number() over () as r, md5(concat_ws('|', dataset, cast(dataframe as varchar),
                    cast(cast(round(lat * 1000000) as bigint) as varchar),
                    cast(cast(round(lng * 1000000) as bigint) as varchar))) as digest
         from features""",
@@ -92,37 +93,42 @@ _TABLES = {
         select crowd, cast(row_number() over (order by count(*) desc, cast(crowd as varchar)) - 1
           as double) as crowdIndex from features group by crowd""",
     "indexed": """
-        select h.*, c.crowdIndex, ('0x' || substr(digest, 1, 8))::bigint % 1000 < 700 as training
+        select h.*, c.crowdIndex, ('0x' || substr(digest, 1, 8))::bigint % 1000 < 700 as training,
+          ('0x' || substr(digest, 9, 8))::bigint % 4 as fold
         from hashed h join crowd_classes c using (crowd)""",
     "training_days": """
         select dataset, row_number() over (order by count(*) desc, dataset) - 1 as i
         from indexed where training group by dataset""",
     "vectors": """
-        select row_number() over () as r, training, crowdIndex,
+        select r, training, fold, crowd, crowdIndex,
           [coalesce(d.i, (select count(*) from training_days)), dataframe, lat, lng,
            lastFrameCrowd, knnMin, knnSum, knnAvg, knnClosest]::double[] as x
         from indexed left join training_days d using (dataset)""",
+    # a set of training rows to fit to: all but those of a fold, or all (-1)
+    "sets": "select unnest([-1, 0, 1, 2, 3]) as k",
     "sums": """
-        select crowdIndex, count(*) as n, [sum(x[1]), sum(x[2]), sum(x[3]), sum(x[4]), sum(x[5]),
+        select k, crowdIndex, count(*) as n, [sum(x[1]), sum(x[2]), sum(x[3]), sum(x[4]), sum(x[5]),
           sum(x[6]), sum(x[7]), sum(x[8]), sum(x[9])] as s
-        from vectors where training group by crowdIndex""",
-    # logarithms of smoothed shares; classes are numbered as far as they occur in training
+        from vectors join sets on fold <> k where training group by k, crowdIndex""",
+    # logarithms of smoothed shares; classes are numbered as far as they occur in the set
     "bayes": """
-        select row_number() over (order by crowdIndex) - 1 as c,
-          ln(n + 1) - ln(sum(n) over () + count(*) over ()) as prior,
+        select k, row_number() over (partition by k order by crowdIndex) - 1 as c,
+          ln(n + 1) - ln(sum(n) over (partition by k) + count(*) over (partition by k)) as prior,
           list_transform(s, lambda v: ln(v + 1) - ln(list_sum(s) + 9)) as theta from sums""",
     "bayes_scores": """
-        select r, crowdIndex, c, prior + list_dot_product(x, theta) as score
-        from vectors cross join bayes where not training""",
-    "bayes_guessed": """
-        select crowdIndex as l, c::double as p from (
-          select *, row_number() over (partition by r order by score desc, c) as place
+        select r, k, training, fold, crowdIndex, c, prior + list_dot_product(x, theta) as score
+        from vectors cross join bayes where k = -1 or training and k = fold""",
+    "bayes_best": """
+        select r, k, training, fold, crowdIndex as l, c::double as p from (
+          select *, row_number() over (partition by r, k order by score desc, c) as place
           from bayes_scores) where place = 1""",
+    "bayes_guessed": "select l, p from bayes_best where k = -1 and not training",
     "bayes_classes": """
         select l, support, hits, coalesce(predicted, 0) as predicted from (
           select l, count(*) as support, count(*) filter (where p = l) as hits
           from bayes_guessed group by l)
         left join (select p, count(*) as predicted from bayes_guessed group by p) on p = l""",
+    **linear_sql.TABLES,
 }
 
 
@@ -140,7 +146,7 @@ def _needed(body: str) -> list[str]:
 
 def _query(body: str) -> str:
     ctes = [f"{name} as ({_TABLES[name].strip()})" for name in _needed(body)]
-    return "with " + ",\n".join(ctes) + "\n" + body
+    return "with recursive " + ",\n".join(ctes) + "\n" + body
 
 
 def _quartiles(group: str) -> str:
@@ -196,22 +202,24 @@ def _metrics(guessed: str, classes: str) -> str:
             / sum(support) from {classes}"""
 
 
+def _size(model: str, label: str) -> str:
+    """The size of the problem, and what the best constant leaves."""
+    constant = ("1 - max(n) / sum(n)::double from (select count(*) as n from indexed"
+                " where training group by crowdIndex)" if label == "crowdIndex"
+                else f"stddev_pop({label}) from indexed where training")
+    return f"""select '{model}' as model, 'training_rows' as metric, count(*)::double as value
+        from indexed where training
+        union all select '{model}', 'test_rows', count(*)::double from indexed where not training
+        union all select '{model}', 'label_mean', round(avg({label}), 6) from indexed where training
+        union all select '{model}', 'constant_error', round(value, 6)
+        from (select {constant.replace(' from', ' as value from', 1)})"""
+
+
 def _checks(model: str, label: str) -> str:
     """The size of the problem, and what a fit must hold."""
-    of_classes = label == "crowdIndex"
-    constant = ("""1 - max(n) / sum(n)::double from (
-          select count(*) as n from indexed where training group by crowdIndex)""" if of_classes
-                else f"stddev_pop({label}) from indexed where training")
-    rows = [("training_rows", "count(*)::double from indexed where training"),
-            ("test_rows", "count(*)::double from indexed where not training"),
-            ("label_mean", f"round(avg({label}), 6) from indexed where training"),
-            ("no_worse", "1.0::double")]
-    if not of_classes:
-        rows.append(("unbiased", "1.0::double"))
-    return "\nunion all ".join(
-        [f"select '{model}' as model, '{name}' as metric, {value}" + " as value" * ("from" not in value)
-         for name, value in rows[-1:] + rows[:-1]]
-        + [f"select '{model}', 'constant_error', round(value, 6) from (select {constant.replace(' from', ' as value from', 1)})"])
+    held = ["no_worse"] if label == "crowdIndex" else ["no_worse", "unbiased"]
+    return _size(model, label) + "".join(
+        f"\nunion all select '{model}', '{name}', 1.0::double" for name in held)
 
 
 _ENDING = f"select dataset, subscriber from last where events > 1 and {_within(AIRPORT)}"
@@ -291,12 +299,21 @@ _BODIES = {
           select *, rank() over (partition by dataset order by haversine desc) as r
           from extents) where r <= 3""",
     "evaluate": f"select metric, round(value, 6) as value from ({_metrics('guessed', 'classes')})",
-    "predict_naive_bayes": _checks("naive_bayes", "crowdIndex") + f"""
+    "predict_naive_bayes": _size("naive_bayes", "crowdIndex") + f"""
+        union all select 'naive_bayes', 'training_error', round(avg((l <> p)::int), 6)
+        from bayes_best where k = -1 and training
+        union all select 'naive_bayes', 'score_0', round(avg(accuracy), 6)
+        from (select avg((l = p)::int) as accuracy from bayes_best where k >= 0 group by k)
         union all select 'naive_bayes', metric, round(value, 6)
         from ({_metrics('bayes_guessed', 'bayes_classes')})""",
+    "cross_validation_naive_bayes": """select k::int as fold, count(*) as "rows",
+        round(avg((l = p)::int), 6) as accuracy from bayes_best where k >= 0 group by k""",
+    "linear_regression_path": linear_sql.PATH,
     "predict_logistic_regression": _checks("logistic_regression", "crowdIndex"),
     "predict_decision_tree_classifier": _checks("decision_tree_classifier", "crowdIndex"),
-    "predict_linear_regression": _checks("linear_regression", "crowd"),
+    "predict_linear_regression": _size("linear_regression", "crowd") + linear_sql.BEST + f"""
+        union all select 'linear_regression', metric, round(value, 6)
+        from ({_metrics('linear_guessed', 'linear_classes')})""",
     "predict_poisson_regression": _checks("poisson_regression", "crowd"),
     "predict_decision_tree_regressor": _checks("decision_tree_regressor", "crowd"),
 }
