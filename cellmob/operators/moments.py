@@ -199,6 +199,51 @@ def linear_scores(folds: dict[object, Moments], grid: Sequence[tuple[float, floa
                            for part in parts])) for point in grid]
 
 
+# ---- Poisson regression -----------------------------------------------------------------
+
+@dataclass(frozen=True)
+class PoissonSums:
+    """What a Poisson fit with a quadratic penalty makes of its rows."""
+
+    n: int
+    deviance: float
+    aic: float
+    residual: float  # of the score equations per row: zero at the optimum
+    error: float  # root mean square
+
+
+def poisson_sums(rows: DataFrame, label: str, coefficients: Sequence[float], intercept: float,
+                 reg: float, features: str = "features") -> PoissonSums:
+    """In one aggregation: expected counts, which are the working weights of the rows, their
+    deviations from the label times each feature, and the likelihood. At the optimum the
+    deviations times a feature add up to ``reg`` times the sum of weights times its
+    coefficient, and the deviations alone to zero."""
+    x, p = vector_to_array(features), len(coefficients)
+    first = rows.select(x).first()
+    origin = first[0] if first else [0.0] * p  # as in moments(): digits
+    eta = F.lit(float(intercept))
+    for i, b in enumerate(coefficients):
+        eta = eta + float(b) * x[i]
+    y, mu = F.col("y"), F.col("mu")
+    table = rows.select(F.col(label).cast("double").alias("y"), eta.alias("eta"),
+                        *((x[i] - float(origin[i])).alias(f"x{i}") for i in range(p)))
+    table = table.withColumn("mu", F.exp("eta"))
+    # the logarithm of a factorial, by Stirling's series from ten on
+    z = F.greatest(y, F.lit(9.0)) + 1
+    factorial = ((z - 0.5) * F.log(z) - z + 0.9189385332046727
+                 + 1 / (12 * z) - 1 / (360 * z ** 3) + 1 / (1260 * z ** 5))
+    factorial = F.when(y < 9, F.log(F.factorial(F.least(y, F.lit(9.0)).cast("int")).cast("double"))
+                       ).otherwise(factorial)
+    row = table.agg(
+        F.count("*"), F.sum(F.when(y > 0, y * F.log(y / mu)).otherwise(0.0) - (y - mu)),
+        F.sum(y * F.col("eta") - mu - factorial), F.sum(mu), F.sum(y - mu),
+        F.sqrt(F.avg((y - mu) * (y - mu))), *(F.sum((y - mu) * F.col(f"x{i}")) for i in range(p))).first()
+    n, half, likelihood, weight, off, error = row[:6]
+    slopes = np.array(row[6:]) - reg * weight * np.asarray(coefficients)
+    return PoissonSums(n, 2 * half, 2 * (p + 1) - 2 * likelihood,
+                       float(max(np.abs(slopes).max(initial=0), abs(off)) / max(n, 1)), error)
+
+
 # ---- naive Bayes ------------------------------------------------------------------------
 
 def class_sums(rows: DataFrame, label: str, features: str = "features",

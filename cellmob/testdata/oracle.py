@@ -7,7 +7,7 @@ grids: the comparison checks those too.
 from __future__ import annotations
 
 from cellmob.schema import AIRPORT, INNER_CITY, OUTER_CITY, Area
-from cellmob.testdata import linear_sql
+from cellmob.testdata import linear_sql, poisson_sql
 from cellmob.testdata.view import RAW_SQL
 
 
@@ -129,6 +129,7 @@ _TABLES = {
           from bayes_guessed group by l)
         left join (select p, count(*) as predicted from bayes_guessed group by p) on p = l""",
     **linear_sql.TABLES,
+    **poisson_sql.TABLES,
 }
 
 
@@ -314,7 +315,9 @@ _BODIES = {
     "predict_linear_regression": _size("linear_regression", "crowd") + linear_sql.BEST + f"""
         union all select 'linear_regression', metric, round(value, 6)
         from ({_metrics('linear_guessed', 'linear_classes')})""",
-    "predict_poisson_regression": _checks("poisson_regression", "crowd"),
+    "predict_poisson_regression": _size("poisson_regression", "crowd") + poisson_sql.BEST + f"""
+        union all select 'poisson_regression', metric, round(value, 6)
+        from ({_metrics('poisson_guessed', 'poisson_classes')})""",
     "predict_decision_tree_regressor": _checks("decision_tree_regressor", "crowd"),
 }
 
