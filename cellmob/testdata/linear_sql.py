@@ -66,14 +66,15 @@ TABLES = {
     "linear_grid": "select * from (values {}) t(point, reg, mix)".format(
         ", ".join(f"({n}, {reg}::double, {mix}::double)" for n, (reg, mix) in enumerate(_GRID))),
     "linear_scaled": f"""
-        select *, sqrt({_cov(P, P)}) as dy, reg * mix / dy as l1, reg * (1 - mix) / dy as l2,
+        select *, sqrt({_cov(P, P)}) as dy, coalesce(reg * mix / nullif(dy, 0), 0) as l1,
+          coalesce(reg * (1 - mix) / nullif(dy, 0), 0) as l2,
           {', '.join(f'case when {_cov(i, i)} > 1e-24 then sqrt({_cov(i, i)}) else 0 end as d{i}'
                      for i in range(P))}
         from linear_cov cross join linear_grid""",
     "linear_problems": f"""
         select point, k, reg, mix, dy, l1, l2, {_list('m{i}', _ALL)}, {_list('d{i}')},
           {', '.join(f'[{_gram(i)}] as g{i}' for i in range(P))},
-          {', '.join(f'case when d{i} > 0 then {_cov(i, P)} / (d{i} * dy) else 0 end as r{i}'
+          {', '.join(f'case when d{i} > 0 and dy > 0 then {_cov(i, P)} / (d{i} * dy) else 0 end as r{i}'
                      for i in range(P))}
         from linear_scaled""",
     "linear_descent": f"""

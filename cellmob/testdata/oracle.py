@@ -7,7 +7,7 @@ grids: the comparison checks those too.
 from __future__ import annotations
 
 from cellmob.schema import AIRPORT, INNER_CITY, OUTER_CITY, Area
-from cellmob.testdata import linear_sql, poisson_sql
+from cellmob.testdata import linear_sql, poisson_sql, tree_sql
 from cellmob.testdata.view import RAW_SQL
 
 
@@ -130,6 +130,7 @@ _TABLES = {
         left join (select p, count(*) as predicted from bayes_guessed group by p) on p = l""",
     **linear_sql.TABLES,
     **poisson_sql.TABLES,
+    **tree_sql.TABLES,
 }
 
 
@@ -311,14 +312,20 @@ _BODIES = {
         round(avg((l = p)::int), 6) as accuracy from bayes_best where k >= 0 group by k""",
     "linear_regression_path": linear_sql.PATH,
     "predict_logistic_regression": _checks("logistic_regression", "crowdIndex"),
-    "predict_decision_tree_classifier": _checks("decision_tree_classifier", "crowdIndex"),
+    "predict_decision_tree_classifier": _size("decision_tree_classifier", "crowdIndex")
+        + tree_sql.CLASSES.rows("decision_tree_classifier") + f"""
+        union all select 'decision_tree_classifier', metric, round(value, 6)
+        from ({_metrics('tree_class_guessed', 'tree_class_classes')})""",
     "predict_linear_regression": _size("linear_regression", "crowd") + linear_sql.BEST + f"""
         union all select 'linear_regression', metric, round(value, 6)
         from ({_metrics('linear_guessed', 'linear_classes')})""",
     "predict_poisson_regression": _size("poisson_regression", "crowd") + poisson_sql.BEST + f"""
         union all select 'poisson_regression', metric, round(value, 6)
         from ({_metrics('poisson_guessed', 'poisson_classes')})""",
-    "predict_decision_tree_regressor": _checks("decision_tree_regressor", "crowd"),
+    "predict_decision_tree_regressor": _size("decision_tree_regressor", "crowd")
+        + tree_sql.COUNTS.rows("decision_tree_regressor") + f"""
+        union all select 'decision_tree_regressor', metric, round(value, 6)
+        from ({_metrics('tree_count_guessed', 'tree_count_classes')})""",
 }
 
 
