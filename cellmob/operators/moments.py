@@ -244,6 +244,43 @@ def poisson_sums(rows: DataFrame, label: str, coefficients: Sequence[float], int
                        float(max(np.abs(slopes).max(initial=0), abs(off)) / max(n, 1)), error)
 
 
+# ---- multinomial logistic regression ----------------------------------------------------
+
+@dataclass(frozen=True)
+class SoftmaxSums:
+    """What a multinomial logistic fit makes of its rows, per row on the average."""
+
+    n: int
+    loss: float  # negative logarithm of the probability of the row's class
+    shares_loss: float  # the same if each class had the probability of its share
+    gradient: np.ndarray  # of the loss by the coefficients: classes times features
+    bias: np.ndarray  # and by the intercepts: expected less actual rows of a class
+
+
+def softmax_sums(rows: DataFrame, label: str, coefficients: np.ndarray, intercepts: np.ndarray,
+                 features: str = "features") -> SoftmaxSums:
+    """In one aggregation: loss, and its gradient per class and feature."""
+    x, (classes, p) = vector_to_array(features), coefficients.shape
+    margins = F.array(*(F.aggregate(
+        F.zip_with(x, F.array(*(F.lit(float(b)) for b in w)), lambda u, v: u * v),
+        F.lit(float(a)), lambda u, v: u + v) for w, a in zip(coefficients, intercepts)))
+    table = rows.select(x.alias("x"), F.col(label).cast("int").alias("y"), margins.alias("m"))
+    table = table.withColumn("top", F.array_max("m")).withColumn(
+        "e", F.transform("m", lambda v: F.exp(v - F.col("top"))))
+    table = table.withColumn("total", F.aggregate("e", F.lit(0.0), lambda u, v: u + v))
+    off = [F.col("e")[c] / F.col("total") - (F.col("y") == c).cast("int") for c in range(classes)]
+    row = table.agg(
+        F.count("*"), F.sum(F.log("total") + F.col("top") - F.col("m")[F.col("y")]),
+        *(F.count_if(F.col("y") == c) for c in range(classes)), *(F.sum(v) for v in off),
+        *(F.sum(v * F.col("x")[i]) for v in off for i in range(p))).first()
+    n = max(row[0], 1)
+    share = np.array(row[2:2 + classes], float) / n
+    known = share[share > 0]
+    sums = np.array(row[2 + classes:], float) / n if row[0] else np.zeros(classes * (p + 1))
+    return SoftmaxSums(row[0], (row[1] or 0.0) / n, float(-(known * np.log(known)).sum()),
+                       sums[classes:].reshape(classes, p), sums[:classes])
+
+
 # ---- naive Bayes ------------------------------------------------------------------------
 
 def class_sums(rows: DataFrame, label: str, features: str = "features",

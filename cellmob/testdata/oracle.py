@@ -104,6 +104,10 @@ _TABLES = {
           [coalesce(d.i, (select count(*) from training_days)), dataframe, lat, lng,
            lastFrameCrowd, knnMin, knnSum, knnAvg, knnClosest]::double[] as x
         from indexed left join training_days d using (dataset)""",
+    "shares": """
+        select -sum(n / total * ln(n / total)) as loss from (
+          select count(*)::double as n, sum(count(*)) over ()::double as total
+          from indexed where training group by crowdIndex)""",
     # a set of training rows to fit to: all but those of a fold, or all (-1)
     "sets": "select unnest([-1, 0, 1, 2, 3]) as k",
     "sums": """
@@ -217,13 +221,6 @@ def _size(model: str, label: str) -> str:
         from (select {constant.replace(' from', ' as value from', 1)})"""
 
 
-def _checks(model: str, label: str) -> str:
-    """The size of the problem, and what a fit must hold."""
-    held = ["no_worse"] if label == "crowdIndex" else ["no_worse", "unbiased"]
-    return _size(model, label) + "".join(
-        f"\nunion all select '{model}', '{name}', 1.0::double" for name in held)
-
-
 _ENDING = f"select dataset, subscriber from last where events > 1 and {_within(AIRPORT)}"
 _EVENT_PROFILE = (["lat", "lng"], ["dataset", "subscriber"])
 
@@ -311,7 +308,9 @@ _BODIES = {
     "cross_validation_naive_bayes": """select k::int as fold, count(*) as "rows",
         round(avg((l = p)::int), 6) as accuracy from bayes_best where k >= 0 group by k""",
     "linear_regression_path": linear_sql.PATH,
-    "predict_logistic_regression": _checks("logistic_regression", "crowdIndex"),
+    "predict_logistic_regression": _size("logistic_regression", "crowdIndex") + """
+        union all select 'logistic_regression', 'shares_loss', round(loss, 6) + 0 from shares
+        union all select 'logistic_regression', 'gains', (loss > 0)::int::double from shares""",
     "predict_decision_tree_classifier": _size("decision_tree_classifier", "crowdIndex")
         + tree_sql.CLASSES.rows("decision_tree_classifier") + f"""
         union all select 'decision_tree_classifier', metric, round(value, 6)

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import functions as F
@@ -111,6 +111,31 @@ def test_poisson_sums_of_large_counts(spark, rows):
     assert found.aic == pytest.approx(10 - 2 * likelihood)
 
 
+def test_softmax_sums_equal_numpy(rows):
+    x, _, _ = both(rows)
+    y = np.array([int(r.crowdIndex) for r in rows.select("crowdIndex").collect()])
+    rng = np.random.default_rng(2)
+    w, a = rng.normal(0, 0.1, (3, 4)), rng.normal(0, 1, 3)
+    m = x @ w.T + a
+    p = np.exp(m - m.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    found = M.softmax_sums(rows, "crowdIndex", w, a)
+    off = p - np.eye(3)[y]
+    assert found.n == 400 and found.loss == pytest.approx(-np.log(p[np.arange(400), y]).mean())
+    assert np.allclose(found.gradient, off.T @ x / 400) and np.allclose(found.bias, off.mean(0))
+    share = np.bincount(y) / 400
+    assert found.shares_loss == pytest.approx(-(share * np.log(share)).sum())
+    shares = M.softmax_sums(rows, "crowdIndex", np.zeros((3, 4)), np.log(share))
+    assert shares.loss == pytest.approx(found.shares_loss) and np.allclose(shares.bias, 0)
+    assert M.softmax_sums(rows.limit(0), "crowdIndex", w, a).n == 0
+
+
+def test_softmax_gradient_is_zero_at_the_optimum(rows):
+    fit = LogisticRegression(labelCol="crowdIndex", family="multinomial", maxIter=300, tol=1e-10).fit(rows)
+    found = M.softmax_sums(rows, "crowdIndex", fit.coefficientMatrix.toArray(), fit.interceptVector.toArray())
+    assert np.abs(found.gradient).max() < 1e-4 and np.abs(found.bias).max() < 1e-5
+
+
 def test_bayes_scores_equal_spark(rows):
     # a class that one fold alone has, so that the others number classes without it
     odd = rows.withColumn("crowdIndex", F.when((F.col("fold") == 1) & (F.col("b") == 2), 3.0).otherwise(F.col("crowdIndex")))

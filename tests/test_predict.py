@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import DenseMatrix, DenseVector
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.sql import functions as F
 
@@ -142,8 +143,13 @@ def test_checks_see_a_constant_fit(spark, features, name):
         label = fitted.spec.label
         constant = (0.0 if label == "crowdIndex" else rows.training.agg(F.avg(label)).first()[0])
 
+        n = rows.rows.agg(F.max("crowdIndex")).first()[0] + 1
+        shares = [rows.training.where(F.col("crowdIndex") == c).count() for c in range(int(n))]
+
         class Constant:
             coefficients, intercept = [0.0] * len(P.FEATURES), math.log(constant or 1)
+            coefficientMatrix = DenseMatrix(len(shares), len(P.FEATURES), [0.0] * len(shares) * len(P.FEATURES))
+            interceptVector = DenseVector([math.log(n / sum(shares)) for n in shares])
             def transform(self, df):
                 return df.withColumn("prediction", F.lit(constant))
             def getOrDefault(self, name):
@@ -154,7 +160,8 @@ def test_checks_see_a_constant_fit(spark, features, name):
 
         wrong = {r.metric: r.value for r in P.checks(Wrong, rows).collect()}
         if name == "logistic_regression":
-            assert found["no_worse"] == 1.0  # a constant is no worse than itself: weaker evidence
+            assert found["gains"] == 1.0
+            assert wrong["gains"] == 0.0 and wrong["shares_loss"] == found["shares_loss"]
         else:
             assert wrong["training_error"] != found["training_error"]
             assert wrong["training_error"] == pytest.approx(wrong["constant_error"], abs=1e-6)
