@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from uuid import uuid4
@@ -47,3 +49,35 @@ def hold(df: DataFrame, cut: bool = False) -> Iterator[DataFrame]:
         yield df
     finally:
         df.unpersist()
+
+
+_kept: list[tuple[SparkSession, str]] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """``df``, a table that is small against what it was made from, computed at once and
+    written to the shared folder; what reads it more than once repeats neither its work nor
+    its plan, and Spark knows its size. The files go when the process ends, or with
+    ``release``. A local session without a shared folder gets one; on a cluster without
+    one, ``df`` itself is returned.
+    """
+    spark = df.sparkSession
+    if not shared_folder(spark):
+        if not spark.sparkContext.master.startswith("local["):
+            return df
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="kept-"))
+    path = f"{shared_folder(spark)}/kept-{uuid4().hex}"
+    _kept.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def release() -> None:
+    """Delete the kept tables; results that still read them end with this."""
+    while _kept:
+        spark, path = _kept.pop()
+        try:
+            _delete(spark, path)
+        except Exception:  # the session is gone, and with it the way to its files
+            return

@@ -1,4 +1,5 @@
-"""What a user asks for: each question as one lazy plan over clean events."""
+"""What a user asks for: each question as a plan over clean events, lazy but for the choice
+of days in ``longest_path_trails``."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from cellmob.operators.distance import (
     distance_cume_dist, distance_metadata, distance_quantiles, longest_ranges, trails_of)
 from cellmob.operators.events import hour_frames
 from cellmob.operators.extent import daily_extent, daily_ranges
+from cellmob.operators.holding import keep
 from cellmob.operators.neighbours import nearest_cells
 from cellmob.operators.arrivals import trails_ending_within
 from cellmob.schema import AIRPORT, SUBSCRIBER_DAY, Area
@@ -41,7 +43,10 @@ def cume_dist(events: DataFrame, by_day: bool = True) -> DataFrame:
 
 
 def longest_path_trails(events: DataFrame, k: int = 5) -> DataFrame:
-    return _by_time(trails_of(events, longest_ranges(daily_ranges(events), k), "events"))
+    """The chosen days are found at once, and the events of them when the result is read:
+    else the plan of the extents would stand in it four times."""
+    chosen = keep(longest_ranges(daily_ranges(events), k))
+    return _by_time(trails_of(events, chosen, "events"))
 
 
 def airport_trails(events: DataFrame, area: Area = AIRPORT) -> DataFrame:

@@ -29,3 +29,12 @@ def test_nothing_is_left_after_an_error(spark, monkeypatch, tmp_path):
         with holding.hold(spark.range(10).selectExpr("raise_error('no') as v"), cut=True):
             pass
     assert list(tmp_path.iterdir()) == []
+
+
+def test_kept_tables_are_read_until_released(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(holding, "shared_folder", lambda spark: str(tmp_path))
+    df = holding.keep(spark.range(5).selectExpr("id + 1 as v"))
+    assert sorted(r.v for r in df.union(df).collect()) == sorted([1, 2, 3, 4, 5] * 2)
+    assert len(list(tmp_path.glob("kept-*/*.parquet"))) > 0
+    holding.release()
+    assert list(tmp_path.iterdir()) == []
