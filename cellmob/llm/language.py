@@ -6,13 +6,14 @@ and go through a linear softmax. Table and softmax are trained together by stoch
 gradient descent in numpy. On texts kept from training, a temperature is fitted that makes
 the winner's probability a calibrated score, and a score below which texts are rejected.
 
-The sample is bounded: of each language the texts whose id hashes below the fraction which
-is expected to give ``SAMPLE`` of them, and of each ``SNIPPETS`` pieces spread over the
-whole text. Predictions are of whole texts, of all rows.
+The sample is bounded: of each of the ``LANGUAGES`` commonest labels the ``SAMPLE`` different
+rows whose id and text have the least hashes, and of each ``SNIPPETS`` pieces spread over
+the whole text. Predictions are of whole texts, of all rows.
 
-Defined cases: a text that is null or holds no letter is ``und`` with score 0; without any
+Defined cases: a text that is null or holds no letter (Unicode category L: neither digits nor
+fractions, superscripts or Roman numerals) is ``und`` with score 0; without any
 labelled text so is every text; a document whose lang is null teaches nothing; repeated
-rows are predicted alike; an empty table gives an empty result; lang and text are read
+rows are predicted alike, and teach once; rows without an id teach like others; an empty table gives an empty result; lang and text are read
 for training, doc_id and text for predictions, and no other column.
 """
 
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cellmob.llm.arrow import arrow_schema, bytes_of, map_batches
@@ -34,6 +36,7 @@ BUCKETS = 1 << 15
 WIDTH = 8
 GRAMS = (2, 3, 4)
 SAMPLE = 500  # texts per language
+LANGUAGES = 256  # that are learned
 SNIPPETS = 4
 SNIPPET = 240  # bytes
 EPOCHS = 6
@@ -64,7 +67,8 @@ def subwords(text: bytes) -> np.ndarray:
 def has_letter(text: bytes | None) -> bool:
     if not text:
         return False
-    return _LETTER.search(text.decode("utf-8", "ignore")) is not None
+    # the pattern also finds other numbers than decimal ones
+    return any(m[0].isalpha() for m in _LETTER.finditer(text.decode("utf-8", "ignore")))
 
 
 @dataclass
@@ -174,19 +178,23 @@ def _calibrate(model: Languages, texts: list[bytes], label: np.ndarray) -> None:
 
 def train(docs: DataFrame) -> Languages:
     """A model from ``docs`` (doc_id, text, lang)."""
-    known = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    counts = known.groupBy("lang").count()
-    # a hash of 30 bits below the fraction that is expected to give SAMPLE texts
-    chosen = (known.join(F.broadcast(counts), "lang")  # a row per language
-              .where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) * F.col("count")
-                     < F.lit(SAMPLE << 30))
-              .select("doc_id", "text", "lang"))
+    known = docs.where("lang is not null and text is not null").select(
+        "lang", "text", F.xxhash64("doc_id", "text").alias("_hash"))
+    common = (known.groupBy("lang").agg(F.count("*").alias("_rows"))
+              .orderBy(F.desc("_rows"), "lang").limit(LANGUAGES).select("lang"))
+    # tasks keep the least hashes of what they read, so that few of them are shuffled
+    least = W.partitionBy("lang").orderBy("_hash")
+    limits = (known.select("lang", "_hash").join(F.broadcast(common), "lang")
+              .withColumn("_place", F.dense_rank().over(least)).where(F.col("_place") <= SAMPLE)
+              .groupBy("lang").agg(F.max("_hash").alias("_limit")))
+    chosen = (known.join(F.broadcast(limits), "lang")  # a row per language, LANGUAGES at most
+              .where(F.col("_hash") <= F.col("_limit")).dropDuplicates(["lang", "_hash"]))
     pieces = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.substring(
         F.col("text"), (F.floor((F.length("text") - 1024) * i / 7) + 1).cast("int"), F.lit(1024)))
     # of a very long text, eight pieces spread over it come to the driver
-    chosen = chosen.select("doc_id", "lang", F.when(F.length("text") > 65536, F.array_join(
+    chosen = chosen.select("_hash", "lang", F.when(F.length("text") > 65536, F.array_join(
         pieces, " ")).otherwise(F.col("text")).alias("text"))
-    rows = sorted(chosen.collect(), key=lambda r: (r.lang, r.doc_id or 0, r.text))
+    rows = sorted(chosen.collect(), key=lambda r: (r.lang, r["_hash"]))
     return fit([r.text.encode() for r in rows], [r.lang for r in rows])
 
 

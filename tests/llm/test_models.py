@@ -1,6 +1,8 @@
 """Language and quality on held-out rows; top-k against brute force."""
 
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -118,6 +120,48 @@ def test_huge_products_saturate_alike():
     assert vectors_topk.inner(b, b).tolist() == [[(1 << 60) + 25]]
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def test_letters_are_those_of_unicode():
+    for text in ("½", "²", "①", "Ⅷ", "٣", "12 _ !", "", "́"):
+        assert not language.has_letter(text.encode())
+    for text in ("½ a", "é", "日", "ǅ", "ª", "Ⅷ ß"):
+        assert language.has_letter(text.encode())
+
+
+def test_rows_that_teach_are_bounded(frame, monkeypatch):
+    """Many rows without an id, of one id, and alike; many labels."""
+    monkeypatch.setattr(language, "SAMPLE", 20)
+    monkeypatch.setattr(language, "LANGUAGES", 3)
+    seen = []
+    monkeypatch.setattr(language, "fit", lambda texts, langs: seen.append((texts, langs)))
+    rows = [(None, f"no id {i}", "aa", "s") for i in range(300)] + [(7, f"one id {i}", "bb", "s") for i in range(300)]
+    rows += [(i, "the same", "cc", "s") for i in range(200)] + [(9, "alike in all", "cc", "s")] * 200
+    rows += [(i, f"rare {i}", f"r{i}", "s") for i in range(50)]
+    language.train(frame(rows))
+    language.train(frame(rows, 7))
+    texts, langs = seen[0]
+    assert Counter(langs) == {"aa": 20, "bb": 20, "cc": 20} and seen[0] == seen[1]
+    assert len(set(zip(texts, langs))) > 40
+
+
+def test_scores_of_kept_texts_are_calibrated(spark):
+    """Texts of two languages that share most words: the mean score is the share that is right,
+    and of right predictions hardly one is below the score that rejects."""
+    rng = random.Random(3)
+    letters = lambda i: "abcdefghij"[i // 10] + "klmnopqrst"[i % 10]
+    common = [f"w{letters(i)}" for i in range(60)]
+    def text(lang):
+        own = [f"{lang}{letters(i)}x" for i in range(6)]
+        return " ".join(rng.choice(own if rng.random() < 0.04 else common) for _ in range(25)).encode()
+    langs = ["aa", "bb"] * 600
+    model = language.fit([text(x) for x in langs], langs)
+    new = ["aa", "bb"] * 500
+    found = [model.predict(text(x)) for x in new]
+    right = np.array([f[0] == x for f, x in zip(found, new)])
+    scores = np.array([f[1] for f in found])
+    assert 0.6 < right.mean() < 0.97 and abs(scores.mean() - right.mean()) < 0.1
+    assert (scores[right] < model.least).mean() < 0.02
