@@ -180,12 +180,15 @@ def train(docs: DataFrame) -> Languages:
     """A model from ``docs`` (doc_id, text, lang)."""
     known = docs.where("lang is not null and text is not null").select(
         "lang", "text", F.xxhash64("doc_id", "text").alias("_hash"))
-    common = (known.groupBy("lang").agg(F.count("*").alias("_rows"))
-              .orderBy(F.desc("_rows"), "lang").limit(LANGUAGES).select("lang"))
-    # tasks keep the least hashes of what they read, so that few of them are shuffled
+    common = (known.groupBy("lang").agg(F.count("*").alias("_rows"),
+                                        F.approx_count_distinct("_hash").alias("_different"))
+              .orderBy(F.desc("_rows"), "lang").limit(LANGUAGES).select("lang", "_different"))
+    # of the different hashes a part that is expected to be some times as many as needed
+    part = F.pmod("_hash", F.lit(1 << 30)) * F.col("_different") < F.lit(4 * SAMPLE << 30)
+    known = known.join(F.broadcast(common), "lang").where(part)
     least = W.partitionBy("lang").orderBy("_hash")
-    limits = (known.select("lang", "_hash").join(F.broadcast(common), "lang")
-              .withColumn("_place", F.dense_rank().over(least)).where(F.col("_place") <= SAMPLE)
+    limits = (known.select("lang", "_hash").distinct()
+              .withColumn("_place", F.row_number().over(least)).where(F.col("_place") <= SAMPLE)
               .groupBy("lang").agg(F.max("_hash").alias("_limit")))
     chosen = (known.join(F.broadcast(limits), "lang")  # a row per language, LANGUAGES at most
               .where(F.col("_hash") <= F.col("_limit")).dropDuplicates(["lang", "_hash"]))
