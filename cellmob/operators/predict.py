@@ -124,10 +124,33 @@ def day_indexer() -> StringIndexer:
 
 def crowd_indexer(features: DataFrame) -> StringIndexerModel:
     """Crowd count to class index, most frequent first; fitted on the whole table. All
-    distinct counts become labels of the model, so where they are many, bin them before."""
+    distinct counts become labels of the model; where they are many, see ``with_crowd_bins``."""
     return StringIndexer(inputCol="crowd", outputCol="crowdIndex").fit(features)
 
 
+def crowd_bin_edges(features: DataFrame, bins: int, accuracy: int = 10_000) -> list[int]:
+    """Counts that part the rows into at most ``bins`` parts of about equal size, ascending.
+
+    From a quantile sketch, in one aggregation: the rank of an edge is off by at most a
+    share of 1 / ``accuracy`` of the rows. Equal edges, where one count has many rows, are
+    one, so that there may be fewer parts.
+    """
+    shares = [i / bins for i in range(1, bins)]
+    edges = features.agg(F.percentile_approx("crowd", shares, accuracy)).first()[0] if shares else []
+    return sorted(set(edges or []))
+
+
+def with_crowd_bins(features: DataFrame, bins: int = 8, accuracy: int = 10_000) -> DataFrame:
+    """``features`` with ``crowdBin``: how many edges lie below the row's count. A class index
+    with a bounded number of labels, for tables whose counts are many; ``crowd_indexer``
+    gives each count a class of its own."""
+    edges = crowd_bin_edges(features, bins, accuracy)
+    index = F.lit(0.0)
+    for edge in edges:
+        index = index + (F.col("crowd") > edge).cast("double")
+    return features.withColumn("crowdBin", index)
+
+
 def assembler(features: Sequence[str] = FEATURES) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features")
 

@@ -272,6 +272,13 @@ _BODIES = {
         as double) as datasetIndex from features group by dataset""",
     "crowd_index": """select crowd, cast(row_number() over (order by count(*) desc,
         cast(crowd as varchar)) - 1 as double) as crowdIndex from features group by crowd""",
+    # edges by exact ranks: the count of the row at each eighth
+    "crowd_bins": """select crowdBin, min(crowd) as least, max(crowd) as most, count(*) as "rows"
+        from (select crowd, cast(len(list_filter(edges, lambda e: e < crowd)) as double) as crowdBin
+              from features cross join (
+                select list_distinct(quantile_disc(crowd, [0.125, 0.25, 0.375, 0.5, 0.625, 0.75, 0.875]))
+                  as edges from features))
+        group by crowdBin""",
     "feature_vectors": """select dataset, dataframe, lat, lng,
           d.i as f0, dataframe::double as f1, lat as f2, lng as f3, lastFrameCrowd::double as f4,
           knnMin::double as f5, knnSum::double as f6, knnAvg as f7, knnClosest as f8

@@ -176,3 +176,20 @@ def test_linear_checks_state_the_optimum(features):
         assert {r.point for r in path} == set(range(8))
         best = fitted.scores.index(min(fitted.scores))
         assert {r.name: r.value for r in path if r.point == best}["objective"] == found["objective"]
+
+
+def test_crowd_bins(spark):
+    rng = np.random.default_rng(6)
+    counts = [int(c) for c in rng.poisson(40, 3000)] + [7] * 2000  # one count with many rows
+    df = spark.createDataFrame([(c,) for c in counts], "crowd bigint")
+    edges = P.crowd_bin_edges(df, 10)
+    ordered = sorted(counts)
+    assert edges == sorted({ordered[max(0, -(-len(counts) * i // 10) - 1)] for i in range(1, 10)})
+    for r in P.with_crowd_bins(df, 10).distinct().collect():
+        assert r.crowdBin == sum(e < r.crowd for e in edges)
+    rough = P.crowd_bin_edges(df, 10, accuracy=50)
+    for i, e in enumerate(sorted(rough)):  # an edge's rank is off by a fiftieth at most
+        place = (np.array(counts) <= e).mean(), (np.array(counts) < e).mean()
+        assert any(place[1] - 0.02 <= j / 10 <= place[0] + 0.02 for j in range(1, 10))
+    assert P.with_crowd_bins(df, 1).select("crowdBin").distinct().count() == 1
+    assert P.with_crowd_bins(df.limit(0)).count() == 0
