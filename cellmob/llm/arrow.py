@@ -19,9 +19,12 @@ cloudpickle.register_pickle_by_value(cellmob.llm)
 
 
 def map_batches(df: DataFrame, per_batch: Callable[[pa.RecordBatch], Iterable[dict]],
-                schema: str) -> DataFrame:
-    """``df.mapInArrow`` for a function that yields columns as a dict of lists or arrays."""
+                schema: str, keeps: bool = False) -> DataFrame:
+    """``df.mapInArrow`` for a function that yields columns as a dict of lists or arrays. One
+    that does not say it ``keeps`` something begins by giving back the worker's memory."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            give_back()
         for batch in batches:
             for columns in per_batch(batch):
                 yield pa.RecordBatch.from_pydict(columns, schema=arrow)
@@ -35,7 +38,12 @@ def worker_memory() -> dict:
     unpickles the functions of each task anew; only what is costly to make again and bounded
     in size belongs here."""
     name = "cellmob_worker_memory"
-    return sys.modules.setdefault(name, ModuleType(name)).__dict__
+    return vars(sys.modules.setdefault(name, ModuleType(name))).setdefault("kept", {})
+
+
+def give_back() -> None:
+    """Other tasks of the worker need the room."""
+    worker_memory().clear()
 
 
 def arrow_schema(schema: str | StructType) -> pa.Schema:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellmob.llm.arrow import arrow_schema, map_batches, texts_of
+from cellmob.llm.arrow import arrow_schema, give_back, map_batches, texts_of
 from cellmob.llm.scratch import written
 
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -125,6 +125,7 @@ def _reduce(records_of, df: DataFrame, schema: str, row) -> DataFrame:
             [pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         rows, held = [], 0
         for record in grace(r for batch in batches for r in records_of(batch)):
             rows.append(row(record))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from cellmob.llm.arrow import arrow_schema, bytes_of, map_batches
+from cellmob.llm.arrow import arrow_schema, bytes_of, give_back, map_batches
 from cellmob.llm.quality import remainder
 
 BUCKETS = 1 << 15
@@ -221,6 +221,7 @@ def accepted(docs: DataFrame, model: Languages) -> DataFrame:
     schema = arrow_schema(docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         for batch in batches:
             kept = [not _rejected(model, *model.predict(t)) for t in bytes_of(batch.column("text"))]
             yield batch.filter(pa.array(kept, pa.bool_())).cast(schema)

@@ -33,7 +33,7 @@ from cellmob.llm.scratch import written
 LENGTH = 4096
 END = 1
 CHUNK = 32_000  # pieces packed together
-_WORDS = 400_000  # of which a worker remembers the ids
+_WORDS = 690_000  # of which a worker remembers the ids
 _TOGETHER = 500
 _CHUNK = 1 << 18  # bytes of text whose words are looked up together
 _BETWEEN = b"0"  # a word of one token
@@ -48,8 +48,7 @@ class WordTokens:
     Only for tokenizers which lower letters and drop white space before they split, so that
     the ids of a text are those of its words in turn, and keep runs of letters together. New
     words are encoded many at a time, a digit between them; those of small Latin letters skip
-    the steps that would change nothing in them. When the memory of words is full, those
-    stay that were used more than once since they came, half of it at most.
+    the steps that would change nothing in them. The memory of words is emptied when full.
 
     Letters of a text without other characters than ASCII are lowered before its words are
     looked up, so that a word has one entry. In other texts the tokenizer does it: it
@@ -66,21 +65,12 @@ class WordTokens:
             pre_tokenizers.WhitespaceSplit(),
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._between, = self._tokenizer.encode(_BETWEEN.decode(), add_special_tokens=False).ids
-        self._empty()
-
-    def _empty(self) -> None:
-        self._known: dict[bytes, int] = {}  # word to its place in the arrays
-        self._start, self._size, self._uses = (np.zeros(1024, np.int64) for _ in range(3))
-        self._pool, self._used = np.zeros(4096, "<u4"), 0
+        self._forget()
 
     def _forget(self) -> None:
-        words, uses = list(self._known), self._uses
-        stay = np.flatnonzero(uses > 1)
-        stay = stay[np.argsort(-uses[stay], kind="stable")[:_WORDS // 2]]
-        ids, before = self._gather(stay)
-        self._empty()
-        self._put([words[i] for i in stay.tolist()], ids, before, np.append(before[1:], len(ids)))
-        self._uses[:len(stay)] = uses[stay] // 2
+        self._known: dict[bytes, int] = {}  # word to its place in _start and _size
+        self._start, self._size = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self._pool, self._used = np.zeros(4096, "<u4"), 0
 
     def __call__(self, text: bytes) -> np.ndarray:
         return next(self.texts([text]))
@@ -108,9 +98,8 @@ class WordTokens:
             if len(self._known) + len(new) > _WORDS:
                 self._forget()
                 missing, new = slice(None), words
-            self._learn({word for word in new if word not in self._known})
+            self._learn(set(new))
             place[missing] = list(map(self._known.__getitem__, new))
-        self._uses += np.bincount(place, minlength=len(self._uses))
         ids, before = self._gather(place)
         ends = np.append(before, len(ids))[np.cumsum(counts, dtype=np.int64)] if counts else []
         at = 0
@@ -129,9 +118,8 @@ class WordTokens:
         """New words, whose ids are those from ``start`` to ``end``."""
         n, more = len(self._known), len(words)
         if n + more > len(self._start):
-            self._start, self._size, self._uses = (
-                np.append(x, np.zeros(n + more, np.int64))
-                for x in (self._start, self._size, self._uses))
+            self._start, self._size = (np.append(x, np.zeros(n + more, np.int64))
+                                       for x in (self._start, self._size))
         if self._used + len(ids) > len(self._pool):
             self._pool = np.append(self._pool, np.zeros(self._used + len(ids), "<u4"))
         self._pool[self._used:self._used + len(ids)] = ids
@@ -199,7 +187,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
                     out[k].append(v)
         yield out
 
-    return map_batches(docs.select("doc_id", "text"), cut, _PIECE)
+    return map_batches(docs.select("doc_id", "text"), cut, _PIECE, keeps=True)
 
 
 # ---- packing of one chunk ---------------------------------------------------------------
