@@ -4,7 +4,8 @@ Rows carry a hash-random 60-bit key. The range of keys is cut into as many equal
 a group's row count asks for, some 256 rows each, and these into coarser parts, so that a
 part of either kind stays small: totals of coarse parts, of fine parts inside a coarse one,
 and of rows inside a fine one are summed apart and added. No task sees a whole group, and
-the random key makes the parts even, whatever the skew of the groups.
+the random key makes the parts even, whatever the skew of the groups. Rows that share a
+key share a part: where many may, make one row of them before (see ``mixing``).
 """
 
 from __future__ import annotations
