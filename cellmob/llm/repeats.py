@@ -19,6 +19,9 @@ of text which all windows of that anchor cover.
    by an aggregation, which combines them before the shuffle, and only the blocks in which
    a repeat begins or ends are cut into smaller ones; see ``_counted``.
 
+A row is told by two longs: ``doc``, by which documents are compared, and ``row``, which
+tells rows of one ``doc`` apart. Rows alike in both have equal texts, and so equal repeats.
+
 Equal 64-bit hashes of gram and stretch, taken together, count as equal texts in 2, two
 64-bit hashes do for crowded grams, and step 3 compares the symbols themselves.
 """
@@ -186,21 +189,22 @@ def anchors_of(unit: Unit, symbols: np.ndarray, starts: np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-_ANCHOR = "h long, stretch long, doc long, at long, first long, last long"
+_ANCHOR = "h long, stretch long, doc long, row long, at long, first long, last long"
 
 
 def anchors(docs: DataFrame, unit: Unit) -> DataFrame:
     powers = Powers()
 
     def found(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids, texts = batch.column(0).to_numpy(), bytes_of(batch.column(1))
+        ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        texts = bytes_of(batch.column(2))
         at = 0
         for group in _batches(texts):
             symbols, starts = symbols_of(unit, group, powers)
             text, place, first, last, h, stretch = anchors_of(unit, symbols, starts, powers)
             if len(text):
                 yield {"h": h.view(np.int64), "stretch": stretch.view(np.int64),
-                       "doc": ids[at + text], "at": place, "first": first, "last": last}
+                       "doc": ids[at + text], "row": rows[at + text], "at": place, "first": first, "last": last}
             at += len(group)
 
     return map_batches(docs, found, _ANCHOR)
@@ -268,8 +272,8 @@ def _several(window: np.ndarray, group: np.ndarray):
     return window[~alone], group[~alone]
 
 
-def _spans(unit: Unit, h, doc, at, first, last, contents: list[bytes]):
-    """(h, doc, at, first, last) of the repeated windows of some fragments."""
+def _spans(unit: Unit, h, doc, row, at, first, last, contents: list[bytes]):
+    """(h, doc, row, at, first, last) of the repeated windows of some fragments."""
     lengths = last - first + 1
     fragment = np.repeat(np.arange(len(h)), lengths)
     place = np.arange(len(fragment)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
@@ -298,17 +302,19 @@ def _spans(unit: Unit, h, doc, at, first, last, contents: list[bytes]):
         repeated[window] = True
     hit = np.flatnonzero(repeated)
     if not len(hit):
-        return h[:0], doc[:0], at[:0], first[:0], last[:0]
+        return h[:0], doc[:0], row[:0], at[:0], first[:0], last[:0]
     cut = (hit[1:] != hit[:-1] + 1) | (fragment[hit[1:]] != fragment[hit[:-1]])
     begin, end = hit[np.concatenate([[True], cut])], hit[np.concatenate([cut, [True]])]
     of = fragment[begin]
-    return h[of], doc[of], at[of], first[of] + place[begin], first[of] + place[end]
+    return h[of], doc[of], row[of], at[of], first[of] + place[begin], first[of] + place[end]
 
 
 # ---- the Spark job -------------------------------------------------------------------------
 
-_FRAGMENT = ("h long, doc long, at long, first long, last long, crowded boolean, content binary")
-_SPAN = "h long, doc long, at long, first long, last long"
+_FRAGMENT = ("h long, doc long, row long, at long, first long, last long, crowded boolean, "
+             "content binary")
+_SPAN = "h long, doc long, row long, at long, first long, last long"
+_PLACE = ["h", "doc", "row", "at"]
 
 
 def _decided(docs: DataFrame, unit: Unit) -> DataFrame:
@@ -320,21 +326,20 @@ def _decided(docs: DataFrame, unit: Unit) -> DataFrame:
     found = written(found.join(several, "h"), "anchors")
 
     stretches = written(found.groupBy("h", "stretch").agg(
-        F.count("*").alias("_copies"), F.min(F.struct("doc", "at")).alias("_one"))
-        .select("h", "stretch", "_copies", F.col("_one.doc").alias("_least"),
-                F.col("_one.at").alias("stands")), "stretches")
+        F.count("*").alias("_copies"), F.min(F.struct("doc", "row", "at")).alias("stands")),
+        "stretches")
     grams = written(stretches.groupBy("h").agg(F.count("*").alias("_different")), "grams")
     stretches = stretches.join(grams, "h")
-    whole = F.col("doc") > F.col("_least") if unit.earlier else F.col("_copies") > 1
-    several, first = F.col("_different") > 1, F.col("doc") == F.col("_least")
-    one = first & (F.col("at") == F.col("stands"))
+    whole = F.col("doc") > F.col("stands.doc") if unit.earlier else F.col("_copies") > 1
+    several, first = F.col("_different") > 1, F.col("doc") == F.col("stands.doc")
+    one = F.struct("doc", "row", "at") == F.col("stands")
     twin = several & first & ~one if unit.earlier else F.lit(False)
     return written(
         found.join(stretches, ["h", "stretch"])
         .withColumns({"whole": whole, "rest": one & several, "twin": twin,
                       "crowded": F.col("_different") > CROWDED})
         .where("whole or rest or twin")
-        .select("h", "doc", "at", "first", "last", "whole", "rest", "twin", "stands", "crowded"),
+        .select(*_PLACE, "first", "last", "whole", "rest", "twin", "stands", "crowded"),
         "decided")
 
 
@@ -344,22 +349,26 @@ def _fragments(docs: DataFrame, rest: DataFrame, unit: Unit) -> DataFrame:
 
     def cut(batch: pa.RecordBatch) -> Iterator[dict]:
         out = {k.split()[0]: [] for k in _FRAGMENT.split(", ")}
-        for doc, text, parts in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)),
-                                    batch.column(2).to_pylist()):
+        for doc, row, text, parts in zip(
+                batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                bytes_of(batch.column(2)), batch.column(3).to_pylist()):
             content = word_symbols([text], powers)[0].tobytes() if unit.words else text
             wide = 8 if unit.words else 1
             for p in parts:
                 if (p["last"] + unit.window) * wide > len(content):
-                    continue  # of another row with this id
+                    continue  # of another text that is told by the same two longs
                 for k in ("h", "at", "first", "last", "crowded"):
                     out[k].append(p[k])
                 out["doc"].append(doc)
+                out["row"].append(row)
                 out["content"].append(content[p["first"] * wide:(p["last"] + unit.window) * wide])
         yield out
 
-    asked = rest.groupBy("doc").agg(F.collect_list(F.struct(
+    asked = rest.groupBy("doc", "row").agg(F.collect_set(F.struct(
         "h", "at", "first", "last", "crowded")).alias("_parts"))
-    joined = docs.join(asked, docs["doc_id"] == asked["doc"]).select("doc_id", "text", "_parts")
+    # rows alike in doc and row are read once; the join shuffles by the same two columns
+    joined = docs.dropDuplicates(["doc", "row"]).join(asked, ["doc", "row"]).select(
+        "doc", "row", "text", "_parts")
     return written(map_batches(joined, cut, _FRAGMENT), "fragments")
 
 
@@ -370,7 +379,7 @@ def _compared(fragments: DataFrame, unit: Unit) -> DataFrame:
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _by_gram(batches):
             found = _spans(
-                unit, *(rows.column(i).to_numpy() for i in range(5)), rows.column("content").to_pylist())
+                unit, *(rows.column(i).to_numpy() for i in range(6)), rows.column("content").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], schema=schema)
 
     ordered = fragments.repartition("h").sortWithinPartitions("h")
@@ -395,7 +404,7 @@ def _by_gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-_BLOCK = ("i1 long, i2 long, o1 long, o2 long, h long, doc long, at long, first long, last long")
+_BLOCK = f"i1 long, i2 long, o1 long, o2 long, {_SPAN}"
 
 
 def _blocks(fragments: DataFrame, unit: Unit, size: int) -> DataFrame:
@@ -404,7 +413,7 @@ def _blocks(fragments: DataFrame, unit: Unit, size: int) -> DataFrame:
     powers = Powers()
 
     def cut(batch: pa.RecordBatch) -> Iterator[dict]:
-        for h, doc, at, start, content, ranges in zip(*(c.to_pylist() for c in batch.columns)):
+        for h, doc, row, at, start, content, ranges in zip(*(c.to_pylist() for c in batch.columns)):
             symbols = np.frombuffer(content, np.uint64) if unit.words else _BYTE[
                 np.frombuffer(content, np.uint8)]
             # blocks by the distance from window to gram, the same in all texts
@@ -418,15 +427,15 @@ def _blocks(fragments: DataFrame, unit: Unit, size: int) -> DataFrame:
             outer = first - start, last + unit.window - start
             shape = [mixed(((at - x).astype(np.uint64) << _U(20)) + (at - y).astype(np.uint64))
                      for x, y in ((at - near, at - near), (first, last))]
-            out = {"h": np.full(len(first), h), "doc": np.full(len(first), doc),
-                   "at": np.full(len(first), at), "first": first, "last": last}
+            place = {k: np.full(len(first), x) for k, x in zip(_PLACE, (h, doc, row, at))}
+            out = {**place, "first": first, "last": last}
             for n, values in ((1, symbols), (2, mixed(symbols + _U(1)))):
                 rolling = Rolling(values, powers)
                 for name, (x, y), kind in (("i", inner, shape[0]), ("o", outer, shape[1])):
                     out[f"{name}{n}"] = mixed(rolling.part(x, y) + kind).view(np.int64)
             yield out
 
-    rows = fragments.select("h", "doc", "at", F.col("first").alias("start"), "content", "ranges")
+    rows = fragments.select(*_PLACE, F.col("first").alias("start"), "content", "ranges")
     return written(map_batches(rows, cut, _BLOCK), "blocks")
 
 
@@ -454,13 +463,13 @@ def _counted(fragments: DataFrame, unit: Unit) -> DataFrame:
             blocks.join(common, ["i1", "i2"]).join(covered, ["o1", "o2"], "left")
             .withColumn("_whole", F.coalesce(repeats, F.lit(False)))
             .withColumn("_open", F.col("_differ") & F.coalesce(F.col("doc") == F.col("_least"), F.lit(True)))
-            .select("h", "doc", "at", "first", "last", "_whole", "_open"), "blocks")
-        found = some.where("_whole").select("h", "doc", "at", "first", "last")
+            .select(*_PLACE, "first", "last", "_whole", "_open"), "blocks")
+        found = some.where("_whole").select(*_PLACE, "first", "last")
         spans = found if spans is None else spans.unionByName(found)
         if size > 1:
-            open_ = some.where("_open").groupBy("h", "doc", "at").agg(
+            open_ = some.where("_open").groupBy(*_PLACE).agg(
                 F.collect_set(F.struct("first", "last")).alias("ranges"))
-            fragments = fragments.drop("ranges").join(open_, ["h", "doc", "at"]).withColumn(
+            fragments = fragments.drop("ranges").join(open_, _PLACE).withColumn(
                 "ranges", F.array_sort("ranges"))
     return spans
 
@@ -469,17 +478,19 @@ def _with_twins(spans: DataFrame, twins: DataFrame) -> DataFrame:
     """``spans``, and those of the twins at the same distance from their grams."""
     if twins.isEmpty():
         return spans
-    moved = twins.select("h", "doc", F.col("stands").alias("at"), (F.col("at") - F.col("stands")).alias("_by"))
-    return spans.unionByName(spans.join(moved, ["h", "doc", "at"]).select(
-        "h", "doc", "at", (F.col("first") + F.col("_by")).alias("first"),
+    moved = twins.select("h", "stands.*", F.col("row").alias("_row"),
+                         (F.col("at") - F.col("stands.at")).alias("_by"))
+    return spans.unionByName(spans.join(moved, _PLACE).select(
+        "h", "doc", F.col("_row").alias("row"), (F.col("at") + F.col("_by")).alias("at"),
+        (F.col("first") + F.col("_by")).alias("first"),
         (F.col("last") + F.col("_by")).alias("last")))
 
 
 def repeated_spans(docs: DataFrame, unit: Unit) -> DataFrame:
-    """Per document with repeated windows: doc, and ``spans``, an array of (first, last)
+    """Per document with repeated windows: doc, row, and ``spans``, an array of (first, last)
     starts of windows which may overlap and come in no order.
 
-    ``docs`` has doc_id and text and no nulls.
+    ``docs`` has doc, row and text and no nulls.
     """
     decided = _decided(docs, unit)
     fragments = _fragments(docs, decided.where("rest"), unit)
@@ -488,9 +499,9 @@ def repeated_spans(docs: DataFrame, unit: Unit) -> DataFrame:
         spans = spans.unionByName(_counted(fragments.where("crowded"), unit))
     if unit.earlier:
         spans = _with_twins(written(spans, "spans"), decided.where("twin"))
-    spans = decided.where("whole").select("doc", "first", "last").unionByName(
-        spans.select("doc", "first", "last"))
-    return spans.groupBy("doc").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    spans = decided.where("whole").select("doc", "row", "first", "last").unionByName(
+        spans.select("doc", "row", "first", "last"))
+    return spans.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 def removed_runs(spans: list[dict] | None, window: int, length: int) -> list[tuple[int, int]]:
@@ -511,9 +522,15 @@ def without_repeats(docs: DataFrame, unit: Unit, finish: Callable[[bytes, list],
                     schema: str) -> DataFrame:
     """Per row of ``docs``: doc_id, and what ``finish`` makes of the text in UTF-8 and the
     spans of its repeated windows; ``schema`` names these columns. Null text is empty."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    whole = docs.where("doc_id is not null and text <> ''")
-    spans = repeated_spans(whole, unit)
+    text = F.coalesce("text", F.lit(""))
+    keys = [F.coalesce("doc_id", F.lit(0)), F.xxhash64(text)]
+    if not unit.earlier:  # no order of documents: what is compared spreads rows without an id
+        keys.reverse()
+    docs = docs.select("doc_id", text.alias("text"), keys[0].alias("doc"), keys[1].alias("row"))
+    whole = docs.where("text <> ''" + " and doc_id is not null" * unit.earlier)
+    spans = repeated_spans(whole.select("doc", "row", "text"), unit)
+    if unit.earlier:  # rows without an id come after no document
+        docs = docs.withColumn("doc", F.when(F.col("doc_id").isNotNull(), F.col("doc")))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def finished(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -521,5 +538,5 @@ def without_repeats(docs: DataFrame, unit: Unit, finish: Callable[[bytes, list],
         yield {"doc_id": batch.column(0), **dict(zip(names, map(list, zip(*rows))))} if rows else {
             "doc_id": [], **{n: [] for n in names}}
 
-    joined = docs.join(spans, docs["doc_id"] == spans["doc"], "left").select("doc_id", "text", "spans")
+    joined = docs.join(spans, ["doc", "row"], "left").select("doc_id", "text", "spans")
     return map_batches(joined, finished, f"doc_id long, {schema}")

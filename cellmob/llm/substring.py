@@ -10,8 +10,8 @@ hashes of blocks of 16, 4 and 1 of its windows are counted. See ``repeats``.
 
 Defined cases: a null text has no words; texts shorter than a window keep all; repeats
 inside one document stay, since no document with a smaller id holds them; rows without an
-id keep all, and count for no other; rows that share an id are one document in that they
-remove nothing of each other; an empty table gives an empty result; only doc_id and text
+id keep all, and count for no other; rows that share an id remove nothing of each other,
+and each loses only what its own text repeats; an empty table gives an empty result; only doc_id and text
 are read.
 """
 
@@ -54,22 +54,22 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 with d as (
-  select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
+  select row_number() over () as r, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) as w from documents),
 s as (
-  select doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h
-  from d, unnest(range(1, len(w) - 48)) as r(i)),
+  select r, doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) as h
+  from d, unnest(range(1, len(w) - 48)) as u(i)),
 f as (select h, min(doc_id) as least from s group by h having min(doc_id) < max(doc_id)),
 x as (
-  select distinct doc_id, i + j as at
-  from (select doc_id, i, lead(i) over (partition by doc_id order by i) as next
+  select distinct r, i + j as at
+  from (select r, i, lead(i) over (partition by r order by i) as next
         from s join f using (h) where doc_id > least), unnest(range(50)) as o(j)
   where next is null or i + j < next),
 k as (
   select d.doc_id, len(w) as n_words, count(x.at) as n_removed,
          coalesce(string_agg(w[p], ' ' order by p) filter (where x.at is null), '') as kept
-  from d left join lateral unnest(range(1, len(d.w) + 1)) as r(p) on true
-    left join x on x.doc_id = d.doc_id and x.at = p
-  group by d.doc_id, d.w)
+  from d left join lateral unnest(range(1, len(d.w) + 1)) as u(p) on true
+    left join x on x.r = d.r and x.at = p
+  group by d.r, d.doc_id, d.w)
 select doc_id, n_words::bigint as n_words, n_removed::bigint as n_removed,
        sha256(kept) as kept_sha256
 from k

@@ -7,9 +7,9 @@ what they share. Neighbours with a common prefix of a window's length are repeat
 the suffixes around anchors that occur more than once are sorted. See ``repeats``.
 
 Defined cases: a null text is empty; texts shorter than a window keep all; a window counts
-that starts anywhere else, in the same text too, and overlaps count; rows without an id
-keep all, and count for no other; of rows that share an id each loses what any of them
-loses; an empty table gives an empty result; only doc_id and text are read.
+that starts anywhere else, in the same text too, and overlaps count; a row without an id,
+or with the id of another, is a document like any other; an empty table gives an empty
+result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -45,25 +45,25 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = r"""
 with d as (
-  select doc_id, hex(encode(coalesce(text, ''))) as x from documents),
+  select row_number() over () as r, doc_id, hex(encode(coalesce(text, ''))) as x from documents),
 s as (
-  select doc_id, i, md5(substr(x, 2 * i + 1, 400)) as h
-  from d, unnest(range(0, len(x) // 2 - 199)) as r(i)),
+  select r, i, md5(substr(x, 2 * i + 1, 400)) as h
+  from d, unnest(range(0, len(x) // 2 - 199)) as u(i)),
 f as (select h from s group by h having count(*) > 1),
-hit as (select doc_id, i, lag(i) over (partition by doc_id order by i) as previous
+hit as (select r, i, lag(i) over (partition by r order by i) as previous
         from s semi join f using (h)),
 runs as (
-  select doc_id, min(i) as a, max(i) + 200 as b
+  select r, min(i) as a, max(i) + 200 as b
   from (select *, count(*) filter (where previous is null or i > previous + 200)
-          over (partition by doc_id order by i) as run from hit)
-  group by doc_id, run),
+          over (partition by r order by i) as run from hit)
+  group by r, run),
 cuts as (
-  select doc_id, a, b, lag(b, 1, 0) over (partition by doc_id order by a) as before from runs),
+  select r, a, b, lag(b, 1, 0) over (partition by r order by a) as before from runs),
 k as (
   select d.doc_id, d.x, count(c.a) as n_spans, coalesce(sum(c.b - c.a), 0) as n_removed,
          coalesce(string_agg(substr(d.x, (2 * c.before + 1)::bigint, (2 * (c.a - c.before))::bigint), '' order by c.a), '')
            || substr(d.x, (2 * coalesce(max(c.b), 0) + 1)::bigint) as kept
-  from d left join cuts c using (doc_id) group by d.doc_id, d.x)
+  from d left join cuts c using (r) group by r, d.doc_id, d.x)
 select doc_id, (len(x) // 2)::bigint as n_bytes, n_removed::bigint as n_removed,
        n_spans::bigint as n_spans, sha256(unhex(kept)) as kept_sha256
 from k

@@ -3,7 +3,9 @@
 import hashlib
 from collections import Counter
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -40,12 +42,12 @@ def plain_bytes(rows, window):
     count = Counter()
     for i, t in rows:
         b = (t or "").encode()
-        count.update(b[p:p + window] for p in range(len(b) - window + 1 if i is not None else 0))
+        count.update(b[p:p + window] for p in range(len(b) - window + 1))
     out = []
     for i, t in rows:
         b = (t or "").encode()
-        gone = covered(len(b), window, [p for p in range(len(b) - window + 1) if i is not None
-                                        and count[b[p:p + window]] > 1])
+        gone = covered(len(b), window, [p for p in range(len(b) - window + 1)
+                                        if count[b[p:p + window]] > 1])
         kept = bytes(np.frombuffer(b, np.uint8)[~gone]) if b else b""
         edges = np.diff(np.concatenate([[0], gone.astype(int)]))
         out.append((i, len(b), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(kept).hexdigest()))
@@ -97,6 +99,24 @@ def test_of_copies_in_one_document_one_goes_on(frame, unit, crowded, monkeypatch
     assert 0 < made[0].count() < 250
 
 
+@pytest.mark.parametrize("crowded", [512, 1])
+def test_rows_without_an_id_and_of_one_id(frame, crowded, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWDED", crowded)
+    own = [f"{i * i * 7919 % 99991}" for i in range(1200)]
+    one, two = own[:90], own[90:170]
+    rows = [(i, " ".join(w)) for i, w in [
+        (None, own[200:230] + one + own[230:260]), (None, own[260:270] + one), (4, one + own[300:330]),
+        (4, own[330:400] + one), (4, own[400:580]), (9, own[580:600] + one + two), (9, two + own[600:690]),
+        (9, two + own[600:690]), (None, own[700:800]), (None, own[700:800]), (2, own[800:830] + two)]]
+    duck = duckdb.connect()
+    duck.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
+    for operator, plain in ((substring, plain_words), (suffixes, plain_bytes)):
+        window = 50 if operator is substring else 200
+        want = sorted(plain(rows, window), key=repr)
+        assert rows_of(operator.dedup(frame(rows))) == want
+        assert sorted(duck.execute(operator.SQL).fetchall(), key=repr) == want
+
+
 def test_empty(frame):
     assert substring.dedup(frame([])).collect() == []
     assert suffixes.dedup(frame([])).collect() == []
