@@ -188,6 +188,49 @@ def test_shards(frame, nasty):
     assert len(load) <= 6 and max(load.values()) <= total // 5
 
 
+def test_shards_of_few_groups_are_those_of_plain_best_fit(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = [(i, rng.randrange(1, 8000)) for i in range(900)] + [(900 + i, 700) for i in range(300)]
+    total = sum(s for _, s in rows)
+    docs = spark.createDataFrame(rows, "doc_id long, bytes long").repartition(3)
+    for capacity in (8000, total // 7):
+        got = sharding.shard(docs, F.col("bytes"), F.col("doc_id"), capacity=capacity).collect()
+        load = Counter()
+        for r in got:
+            load[r.shard] += r.size
+        plain = Counter()
+        for i, b in sharding.best_fit_decreasing(rows, capacity).items():
+            plain[b] += rows[i][1]
+        assert load == plain and sorted((r.doc_id, r.size) for r in got) == rows
+    monkeypatch.setattr(sharding, "BINS", 40)
+    got = sharding.shard(docs, F.col("bytes"), F.col("doc_id"), capacity=8000).collect()
+    load = Counter()
+    for r in got:
+        load[r.shard] += r.size
+    assert max(load.values()) <= 8000 and sorted(load) == list(range(len(load)))
+    assert len(load) <= 1.05 * len(sharding.best_fit_decreasing(rows, 8000)) and sum(load.values()) == total
+    got = sharding.shard(docs, F.col("bytes"), F.col("doc_id"), shards=90).collect()
+    assert {r.shard for r in got} == set(range(90)) and len(got) == len(rows)
+
+
+def test_small_capacities_hold(spark):
+    """A capacity of 1/20,000 of all bytes: no shard above it, and few more than needed."""
+    docs = spark.range(200_000).select(F.col("id").alias("doc_id"), (100 + F.col("id") % 37).alias("bytes"))
+    total = docs.agg(F.sum("bytes")).first()[0]
+    placed = sharding.shard(docs, F.col("bytes"), F.xxhash64("doc_id"), capacity=total // 20_000)
+    load = [r[1] for r in placed.groupBy("shard").agg(F.sum("size")).collect()]
+    assert sum(load) == total and max(load) <= total // 20_000 and len(load) < 20_000 * 1.1
+
+
+def test_many_rows_of_one_id_and_text_are_spread(frame):
+    docs = frame([(7, "same text", "en", "a")] * 4000 + [(None, None)] * 4000).select("doc_id", "text")
+    placed = sharding.shard(docs, F.coalesce(F.octet_length("text"), F.lit(0)) + 16,
+                            F.xxhash64("text"), shards=10).collect()
+    rows = [(7, "same text")] * 4000 + [(None, None)] * 4000
+    load = check_shards(rows, placed, 10, 4000 * 25 // 5)
+    assert max(load.values()) < 1.2 * min(load.values()) and len(load) == 10
+
+
 def test_no_rows_no_shards(frame):
     docs = frame([]).select("doc_id", "text")
     assert sharding.shard(docs, F.octet_length("text"), F.xxhash64("text"), shards=4).collect() == []
